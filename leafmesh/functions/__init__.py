@@ -1,0 +1 @@
+"""Part of leafmesh; see the modules."""
