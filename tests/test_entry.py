@@ -1,0 +1,37 @@
+import __spark_entry__ as entry
+import pytest
+
+BLOCK = "array<struct<id string, page int, block_index int, xMin double, yMin double, xMax double, yMax double, text string, preserve_image boolean>>"
+PAGES = f"document string, page int, source string, blocks {BLOCK}"
+
+
+def block(name, text, y=100.0, page=1):
+    return (name, page, 0, 60.0, y, 500.0, y + 10, text, None)
+
+
+@pytest.fixture()
+def sf_dir(spark, tmp_path):
+    def write(rows, name="source_pages", ddl=PAGES):
+        spark.createDataFrame(rows, ddl).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_p1_found(spark, sf_dir):
+    rows = [("d", 1, None, [block("b1", "efficient code"), block("b2", "eﬃcient  code"), block("b3", "Efficient code"), block("b4", "efficient\ncode")])]
+    got = {tuple(r) for r in entry.queries()["p1_found"](spark, sf_dir(rows + rows)).collect()}
+    assert got == {("d", "b1", "b2"), ("d", "b2", "b4")}
+
+
+def test_p2_found(spark, sf_dir):
+    line = "This copy was served by the archive of the society"
+    rows = [(f"d{k}", 1, "s", [block("b1", f"own text number {k} of nothing repeated here {chr(97 + k) * 5}\n{k}. {line.upper() if k % 2 else line}")]) for k in range(4)]
+    rows += [(f"e{k}", 1, None, [block("b1", line)]) for k in range(4)]
+    out = entry.queries()["p2_found"](spark, sf_dir(rows + rows[:1]))
+    assert out.columns == ["document", "block_id", "line_no"]
+    assert sorted(tuple(r) for r in out.collect()) == [(f"d{k}", "b1", 2) for k in range(4)]
+
+
+def test_entry_has_rows(spark):
+    assert entry.entry(spark).count() > 0
