@@ -35,3 +35,41 @@ def test_p2_found(spark, sf_dir):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def brute(entries, item, length):
+    runs = {tuple(item[k : k + length]) for k in range(len(item) - length + 1)}
+    return any(tuple(entries[k : k + length]) in runs for k in range(len(entries) - length + 1))
+
+
+def test_p6_found(spark, sf_dir):
+    item = "If Zavrin walks from Sivaneby at nine well-known miles and rests beside the compact asynchronous gate."
+    chinese = "一艘名为尼叶凯的渡轮载着不变式假设以及属于假说计数器的箱子驶过湾"
+    docs = [
+        (1, "So: " + item.upper() + " And more."),
+        (2, "x if zavrin walks from sivaneby at nine well known miles and rests"),  # twelve words
+        (3, "x if zavrin walks from sivaneby at nine well-known miles, and"),  # eleven
+        (4, "at nine well-\nknown miles and rests beside the com-\npact asyn-\nchronous gate at"),
+        (5, "at ｎｉｎｅ well‑known mi​les and rests beside the соmpact asynchronous gate"),
+        (6, chinese[:12] + " 12 ab,\n" + chinese[12:24]),
+        (7, chinese[:23]),
+        (8, None), (9, ""), (10, "at nine well known miles 一 and rests beside the compact asynchronous"),
+        (11, "at nine well known miles and rests"), (12, "beside the compact asynchronous gate"),
+    ]
+    sf_dir(docs, "documents", "doc_id bigint, text string")
+    d = sf_dir([(70, item), (71, chinese), (72, item)], "eval_items", "item_id bigint, text string")
+    got = {tuple(r) for r in entry.queries()["p6_found"](spark, d).collect()}
+    assert got == {(k, i) for k in (1, 2, 4, 5) for i in (70, 72)} | {(6, 71)}
+
+
+def test_p6_matches_are_those_of_brute_force():
+    import random
+
+    from leafmesh.llm import leaks
+
+    draw = random.Random(3)
+    for length in (leaks.WORDS, leaks.IDEOGRAPHS):
+        items = [(k, draw.choices("ab", k=length + 3)) for k in range(8)]
+        docs = [draw.choices("abc" if k % 2 else "ab", k=draw.randint(1, 3000)) for k in range(20)]
+        pairs = leaks._pairs(list(range(20)), docs, leaks.Items(items, length))
+        assert {tuple(map(int, p)) for p in pairs} == {(d, i) for d, s in enumerate(docs) for i, x in items if brute(s, x, length)}
