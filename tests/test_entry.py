@@ -73,3 +73,18 @@ def test_p6_matches_are_those_of_brute_force():
         docs = [draw.choices("abc" if k % 2 else "ab", k=draw.randint(1, 3000)) for k in range(20)]
         pairs = leaks._pairs(list(range(20)), docs, leaks.Items(items, length))
         assert {tuple(map(int, p)) for p in pairs} == {(d, i) for d, s in enumerate(docs) for i, x in items if brute(s, x, length)}
+
+
+def test_p7_shares_are_met(spark, sf_dir):
+    docs = [(k, "x" * (20 + k % 50), "a" if k % 3 else "b") for k in range(3000)] + [(4000, None, "a"), (4001, "other", "z"), (4002, "", "b")]
+    sf_dir(docs, "documents", "doc_id bigint, text string, source string")
+    d = sf_dir([("a", 0.3, 2), ("b", 0.7, 3), ("none", 0.0, 1)], "mix_targets", "source string, target_share double, max_repeats int")
+    rows = entry.queries()["p7_copies"](spark, d).collect()
+    assert sorted(r.doc_id for r in rows) == [*range(3000), 4000, 4002]
+    used = {s: sum(r.tokens * r.copies for r in rows if r.source == s) for s in "ab"}
+    assert {r.copies for r in rows if r.source == "b" and r.tokens} == {3}  # the shortest source gives all it may
+    assert {r.copies for r in rows if r.source == "a" and r.tokens} == {0, 1}
+    assert abs(used["a"] - used["b"] * 0.3 / 0.7) <= 71 / 2
+    assert all(r.copies == 0 for r in rows if not r.tokens)
+    out = {r.source: r for r in entry.queries()["p7_shares"](spark, d).collect()}
+    assert set(out) == {"a", "b", "none"} and abs(out["a"].actual_share - 0.3) < 1e-3 and out["b"].tokens == used["b"] and out["none"].tokens == 0
