@@ -180,12 +180,15 @@ def repeated_lines(pages: DataFrame, min_documents: int = MIN_DOCUMENTS, min_sha
 def texts_without_repeats(pages: DataFrame, **limits: float) -> DataFrame:
     """(document, page, block_id, text, cut): each block's text without its repeated lines and the number of lines cut.
 
-    Blocks that hold nothing else give an empty text; null texts stay null. Extra columns of the input are ignored.
+    Blocks that hold nothing else give an empty text; null texts stay null, and blocks of a null page are cut like any other.
+    Extra columns of the input are ignored.
     """
     found = repeated_lines(pages, **limits).groupBy("document", "page", "block_id").agg(F.collect_set("line_no").alias("_lines"))
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in ("document", "page", "block_id")), "_lines")
     b = blocks(pages.select("document", "page", "source", "blocks")).where("document is not null").dropDuplicates(["document", "page", "block_id"])
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", (i + 1).cast("int"))), "\n")
-    out = b.join(found, ["document", "page", "block_id"], "left")
+    same = (b.document == found._document) & b.page.eqNullSafe(found._page) & (b.block_id == found._block_id)
+    out = b.join(found, same, "left")
     return out.select("document", "page", "block_id", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("_lines"), F.lit(0)).alias("cut"))
 
 

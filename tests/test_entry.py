@@ -88,3 +88,12 @@ def test_p7_shares_are_met(spark, sf_dir):
     assert all(r.copies == 0 for r in rows if not r.tokens)
     out = {r.source: r for r in entry.queries()["p7_shares"](spark, d).collect()}
     assert set(out) == {"a", "b", "none"} and abs(out["a"].actual_share - 0.3) < 1e-3 and out["b"].tokens == used["b"] and out["none"].tokens == 0
+
+
+def test_p2_texts_without_repeats_of_a_null_page(spark):
+    from leafmesh.llm.chunks import texts_without_repeats
+
+    line = "This copy was served by the archive of the society"
+    rows = [(f"d{k}", None if k < 2 else 1, "s", [block("b1", f"own\n{line}"), block("b2", None)]) for k in range(4)]
+    out = {(r.document, r.page, r.block_id): (r.text, r.cut) for r in texts_without_repeats(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out == {(f"d{k}", None if k < 2 else 1, b): v for k in range(4) for b, v in (("b1", ("own", 1)), ("b2", (None, 0)))}
