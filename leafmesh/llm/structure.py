@@ -20,13 +20,9 @@ FUNCTION_WORDS = frozenset(
     "au aux avec ce ces cette dans des du elle en est et il je la le les leur mais nous ou par pas plus pour qui que sa se son sur un une "
     "como con del el ella este esta los las lo no para pero por se sin su sus una y".split()
 )
-SECTION_TITLES = frozenset(
-    "abstract acknowledgments acknowledgements acknowledgement appendix background bibliography conclusion conclusions contents discussion evaluation "
-    "experiments future index introduction limitations methods methodology motivation overview preliminaries references related results summary work "
-    "einleitung ergebnisse literatur zusammenfassung fazit anhang diskussion danksagung".split()
-)
 
-CAPTION = re.compile(r"(?:fig(?:ure)?|tab(?:le)?|abb(?:ildung)?|tabelle)\b\.? ?\d+ ?[.:|]", re.IGNORECASE)
+#: A caption names what it stands at, numbers it and closes the number with a stop or colon.
+CAPTION = re.compile(r"(?:figure|fig\.?|table|tab\.?|abbildung|abb\.?|tabelle|图|表)\s?\d+\s?[.:。：]", re.IGNORECASE)
 STATEMENT = re.compile(r"(?:claim|lemma|theorem|proposition|corollary|definition|remark|example|satz|korollar|behauptung) ?\d+ ?[.:]", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE_END = re.compile(r"[.!?。！？](?=[\s”\"')\]）」]|$)")
@@ -34,15 +30,25 @@ _NUMERIC = re.compile(r"[-+±(\[]*[\w.,/-]*\d[\d.,%)\]]*$|^[-–|]$")
 _VOWEL = re.compile(r"[aeiouyäöüàáâãåæèéêëìíîïòóôõøùúûýœ]", re.IGNORECASE)
 _BULLET = re.compile(r"\s*(?:[-•*·‣▪◦–—]|\(?[a-z0-9]{1,2}[.)])\s+\S")
 _REFERENCE = re.compile(r"\s*\[\w{1,12}\]\s+\S|\s*\d{1,3}\.\s+[A-Z][.]?\s?[A-Z]?[^ ]*, ")
-_INDEX = re.compile(r".*[^\d\s],(?:\s*\d+(?:[-–]\d+)?,?)+\s*$")
-_LEADER = re.compile(r".*(?:\.\s?){3,}\s*\w{1,6}\s*$|.*…\s*\w{1,6}\s*$")
-_NAME = re.compile(r"(?:[^\W\d_a-zà-öø-ÿ](?:\.|[^\W\d_]*)[ -]?)+$")
+_INDEX = re.compile(r"[^\d\s],\s*\d+(?:[-–]\d+)?(?:,\s*\d+(?:[-–]\d+)?)*,?\s*$")
+_LEADER = re.compile(r"(?:(?:\.\s?){3}|…)\s*\w{1,6}\s*$")
+_NAME_WORD = re.compile(r"(?:[^\W\d_]\.)+|[^\W\d_]+(?:-[^\W\d_]+)?")
 _FORMULA = re.compile(r"[=≤≥<>∑∏∫√∧∨¬∀∃∈∉⊂⊆∪∩±×÷·λαβγδεθμπσφω²³ᵢ₀-₉]")
 _CJK = re.compile(r"[㐀-鿿぀-ヿ가-힯]")
 
 
-def kind(text: str | None) -> str:
-    """The kind of a block; its text should have canonical characters, line breaks kept. None and blank texts are 'empty'."""
+def _is_name(line: str) -> bool:
+    """Two to four words of letters or initials, each with a capital."""
+    words = line.replace(",", " ").split()
+    return 2 <= len(words) <= 4 and all(_NAME_WORD.fullmatch(w) and w[0].isupper() for w in words)
+
+
+def kind(text: str | None, lexicon: frozenset[str] = frozenset()) -> str:
+    """The kind of a block; its text should have canonical characters, line breaks kept. None and blank texts are 'empty'.
+
+    lexicon: words of running text in lower case; with it, headings of two words are told from names of persons. The time
+    taken is in proportion to the length of the text.
+    """
     lines = [x for x in (text or "").split("\n") if x.strip()]
     if not lines:
         return "empty"
@@ -66,18 +72,18 @@ def kind(text: str | None) -> str:
     if n > 1 or solid > 40:
         if sum(map(bool, map(_REFERENCE.match, lines))) * 6 >= n and _REFERENCE.match(lines[0]):
             return "list"
-        if 10 * sum(map(bool, map(_LEADER.match, lines))) >= 6 * n:
+        if 10 * sum(bool(_LEADER.search(x[-40:])) for x in lines) >= 6 * n:
             return "list"
         if 10 * sum(map(bool, map(_BULLET.match, lines))) >= 6 * n and n > 1 and function < 0.3:
             return "list"
-        if n > 1 and 10 * sum(map(bool, map(_INDEX.match, lines))) >= 6 * n:
+        if n > 1 and 10 * sum(bool(_INDEX.search(x[-80:])) for x in lines) >= 6 * n:
             return "list"
         latin1 = sum("\x80" <= c <= "\xff" or c in "€™œ" for c in one)
         if solid >= 20 and (symbols > 0.3 * solid or latin1 > 0.3 * solid):
             return "junk"
         if letters + digits > 60 and solid > 28 * len(tokens):
             return "junk"
-        numeric = sum(1 for t in tokens if _NUMERIC.match(t))
+        numeric = sum(1 for t in tokens if len(t) < 40 and _NUMERIC.match(t))
         if numeric * 10 >= 4 * len(tokens) or digits > 0.3 * solid or sum("\t" in x or x.count("|") > 1 for x in lines) * 2 > n:
             return "table"
         longer = [w for w in small if len(w) > 2]
@@ -89,11 +95,10 @@ def kind(text: str | None) -> str:
         return "formula"
     if letters <= 3 and len(tokens) <= 3 or (letters <= 4 and symbols + digits):
         return "cell"
-    if all(_NAME.match(x.strip().replace(",", "")) and 2 <= len(x.split()) <= 4 for x in lines) and not (n == 1 and any(w in SECTION_TITLES for w in small)):
+    if all(map(_is_name, lines)) and not any(w in lexicon for w in small):
         if n > 1 and any("," in x for x in lines):
             return "list"
-        if all(len(x.split()) == 2 for x in lines) or n > 1 and len(words) > 2 * n:
-            return "names" if n <= 8 else "list"
+        return "names" if n <= 8 else "list"
     if function >= 0.08 and (ended or len(words) >= 14):
         return "prose"
     if len(words) >= 8 and not ended and function < 0.05 and one[0].islower():
