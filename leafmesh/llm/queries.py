@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmesh.llm import abuse
 from leafmesh.llm.chunks import repeated_lines
 from leafmesh.llm.forms import look_alike_pairs
 from leafmesh.llm.leaks import leaked
@@ -40,7 +41,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p6_found, p7_copies, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): documents with a passage that is abusive, hateful or sexual."""
+    return abuse.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, score, windows, hits): a score of every document."""
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, documents, flagged, rate)."""
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p6_found, p7_copies, p7_shares, p8_found, p8_scores, p8_rates)}
 
 #: SQL is given only where it is as fast on whole tables; the operators here are tested against brute force instead.
 ORACLES: dict[str, str] = {}
