@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmesh.llm import abuse
+from leafmesh.llm import abuse, answers
 from leafmesh.llm.chunks import repeated_lines
 from leafmesh.llm.forms import look_alike_pairs
 from leafmesh.llm.leaks import leaked
@@ -26,6 +26,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "source_pages")).select("document", "block_id", "line_no")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, block_id, defect): entries of translations whose answer is defective."""
+    return answers.defects(table(spark, sf_dir, "source_pages"), table(spark, sf_dir, "translations"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id): documents that hold a passage of a held-out item."""
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -56,7 +61,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p6_found, p7_copies, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p7_copies, p7_shares, p8_found, p8_scores, p8_rates)}
 
 #: SQL is given only where it is as fast on whole tables; the operators here are tested against brute force instead.
 ORACLES: dict[str, str] = {}
