@@ -202,4 +202,58 @@ def repeated_wordings(pages: DataFrame, **limits: float) -> DataFrame:
     return named.select("source", F.element_at(F.split("text", "\n"), F.col("at.line_no")).alias("line"), "documents", "lines")
 
 
-__all__ = ["chunked_lines", "excessive", "long_lines", "repeated_lines", "repeated_wordings", "texts_without_repeats"]
+#: Wordings that are sent to all tasks at most; beyond that the lines are joined to their pages.
+MOST_WORDINGS = 500_000
+
+
+class Repeats:
+    """The excessively repeated wordings of each source, as sorted arrays of hashes."""
+
+    def __init__(self, by_source: dict[str, np.ndarray]) -> None:
+        self.by_source = by_source
+
+    def without(self, source: str | None, texts: list[str]) -> list[str]:
+        """The texts without the lines that their source repeats."""
+        known = self.by_source.get(source) if source is not None else None
+        if known is None or not len(known) or not texts:
+            return texts
+        out = list(texts)
+        for a, z in safe_groups(texts):
+            x = long_lines(texts[a:z])
+            at = np.minimum(np.searchsorted(known, x["wording"]), len(known) - 1)
+            drop: dict[int, set[int]] = {}
+            for k in np.flatnonzero(known[at] == x["wording"]):
+                drop.setdefault(int(x["text"][k]) + a, set()).add(int(x["line"][k]))
+            for k, lines in drop.items():
+                out[k] = "\n".join(t for n, t in enumerate(texts[k].split("\n"), 1) if n not in lines)
+        return out
+
+
+def repeats(pages: DataFrame, **limits: float) -> tuple[Repeats | None, DataFrame]:
+    """What a pass over `pages` needs to leave repeated lines out: the wordings by source, and the pages to read.
+
+    A wording stands in a fifth of its source's documents, so a source has at most five times the long lines of a mean
+    document. If there are more than MOST_WORDINGS over all sources they aren't collected: the first part is None then, and
+    the lines are cut from the pages by a join.
+    """
+    found = excessive(written(chunked_lines(pages), "chunks"), pages, **limits)
+    distinct = written(found.select("source", "wording").distinct(), "wordings")
+    if distinct.limit(MOST_WORDINGS + 1).count() > MOST_WORDINGS:
+        lines = found.groupBy("document", "page", "block_id").agg(F.collect_set("line_no").alias("_lines"))
+        cut = lines.groupBy("document", "page").agg(F.map_from_entries(F.collect_list(F.struct("block_id", "_lines"))).alias("_cut"))
+        joined = pages.join(cut.withColumnRenamed("page", "_page").withColumnRenamed("document", "_document"), (F.col("document") == F.col("_document")) & F.col("page").cast("int").eqNullSafe(F.col("_page")), "left")
+
+        def kept(b):  # noqa: ANN001, ANN202
+            lines = F.col("_cut")[b.id]
+            text = F.array_join(F.filter(F.split(b.text, "\n"), lambda x, i: ~F.array_contains(lines, (i + 1).cast("int"))), "\n")
+            return b.withField("text", F.when(lines.isNull(), b.text).otherwise(text))
+
+        return None, joined.withColumn("blocks", F.transform("blocks", kept)).drop("_cut", "_page", "_document")
+    by_source: dict[str, list[int]] = {}
+    for r in distinct.collect():
+        by_source.setdefault(r.source, []).append(r.wording)
+    return Repeats({s: np.sort(np.array(w, dtype=np.int64)) for s, w in by_source.items()}), pages
+
+
+__all__ = [
+    "Repeats", "repeats", "chunked_lines", "excessive", "long_lines", "repeated_lines", "repeated_wordings", "texts_without_repeats"]

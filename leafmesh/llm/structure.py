@@ -95,6 +95,8 @@ def kind(text: str | None, lexicon: frozenset[str] = frozenset()) -> str:
         return "formula"
     if letters <= 3 and len(tokens) <= 3 or (letters <= 4 and symbols + digits):
         return "cell"
+    if n > 3 and 10 * sum("," in x and _is_name(x) for x in lines) >= 7 * n and not any(w in lexicon for w in small[: len(small) // 2]):
+        return "list"
     if all(map(_is_name, lines)) and not any(w in lexicon for w in small):
         if n > 1 and any("," in x for x in lines):
             return "list"
