@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmesh.llm import abuse, answers, quality
+from leafmesh.llm import abuse, answers, noise, quality
 from leafmesh.llm.chunks import repeated_lines
 from leafmesh.llm.forms import look_alike_pairs
 from leafmesh.llm.leaks import leaked
@@ -31,6 +31,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.defects(table(spark, sf_dir, "source_pages"), table(spark, sf_dir, "translations"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, block_id, noise): cut words, misread words, running headers and printed page numbers."""
+    return noise.found(table(spark, sf_dir, "source_pages"))
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, paragraph, page, y_min, text): the repaired text of each document."""
+    return noise.paragraphs(table(spark, sf_dir, "source_pages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document): documents that are lists, tables or junk rather than prose."""
     return quality.found(table(spark, sf_dir, "source_pages"))
@@ -71,7 +81,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_statistics, p6_found, p7_copies, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_paragraphs, p5_found, p5_statistics, p6_found, p7_copies, p7_shares, p8_found, p8_scores, p8_rates)}
 
 #: SQL is given only where it is as fast on whole tables; the operators here are tested against brute force instead.
 ORACLES: dict[str, str] = {}
