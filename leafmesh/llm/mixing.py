@@ -7,11 +7,15 @@ drawn by Pareto order sampling, with the fraction of r as the chance of one more
 
 from __future__ import annotations
 
+import base64
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmesh.llm.forms import column
 from leafmesh.session import written
 
 #: Ranges of the order variable that are counted before one of them is sorted; they bound what a single task sorts.
@@ -19,9 +23,31 @@ RANGES = 4096
 SEED = 7
 
 
-def tokens(text: Column) -> Column:
-    """Tokens of a text by the public tokenizer of ByT5: its UTF-8 bytes and an end mark. Null and empty texts have none."""
-    return F.when(F.octet_length(text) > 0, F.octet_length(text) + 1).otherwise(0).cast("bigint")
+#: Ranks of a public byte-level BPE, and the pattern by which it splits texts; fixed values.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def encoding(path: str):  # noqa: ANN201
+    """The tokenizer of a file of ranks; it is read where it is used and never stored."""
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def counted(records: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """(doc_id, source, tokens): the number of tokens of each text by the tokenizer at `path`; null and empty texts have none."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("tokens", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(path).encode_ordinary
+        for batch in batches:
+            sizes = [len(encode(t)) if t else 0 for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), batch.column(batch.schema.get_field_index("source")), pa.array(sizes, pa.int64())], schema=schema)
+
+    return records.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
 
 
 def uses(totals: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, float]:
@@ -36,7 +62,7 @@ def uses(totals: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[
     return {s: min(float(most), total * share / totals[s]) for s, (share, most) in open_.items()}
 
 
-def copies(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+def copies(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens, copies): how often each record of the sources of `targets` is used, 0 included.
 
     Null and empty texts are used 0 times; rows without doc_id and other sources are left out. No source is sorted or held
@@ -45,8 +71,8 @@ def copies(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFr
     spark = documents.sparkSession
     wanted = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.where("source is not null").collect()}
     names = spark.createDataFrame([(s,) for s in wanted], "source string")
-    records = documents.where("doc_id is not null").select("doc_id", "source", tokens(F.col("text")).alias("tokens"))
-    records = written(records.join(F.broadcast(names), "source").select("doc_id", "source", "tokens"), "tokens")
+    records = documents.select("doc_id", "source", "text").where("doc_id is not null").join(F.broadcast(names), "source")
+    records = written(counted(records, tokenizer), "tokens")
     totals = {r.source: r.n for r in records.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     plan = []
     for source, times in uses(totals, wanted).items():
@@ -77,13 +103,13 @@ def copies(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFr
     return base.select("doc_id", "source", "tokens", times.alias("copies"))
 
 
-def shares(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
     """(source, target_share, max_repeats, records, used, tokens, actual_share): what `copies` makes of each source."""
-    of = copies(documents, targets, seed).groupBy("source").agg(
+    of = copies(documents, targets, seed, tokenizer).groupBy("source").agg(
         F.count("*").alias("records"), F.sum("copies").cast("bigint").alias("used"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     rows = targets.where("source is not null").select("source", "target_share", "max_repeats").join(of, "source", "left").fillna(0, ["records", "used", "tokens"])
     everything = of.agg(F.sum("tokens").alias("_all"))
     return rows.crossJoin(F.broadcast(everything)).withColumn("actual_share", F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0)).drop("_all")
 
 
-__all__ = ["copies", "shares", "tokens", "uses"]
+__all__ = ["copies", "counted", "encoding", "shares", "uses"]

@@ -85,6 +85,7 @@ def test_p7_shares_are_met(spark, sf_dir):
     assert {r.copies for r in rows if r.source == "b" and r.tokens} == {3}  # the shortest source gives all it may
     assert {r.copies for r in rows if r.source == "a" and r.tokens} == {0, 1}
     assert abs(used["a"] - used["b"] * 0.3 / 0.7) <= 71 / 2
+    assert {r.doc_id: r.tokens for r in rows}[0] == len(__import__("leafmesh.llm.mixing", fromlist=["x"]).encoding("/opt/tokenizers/byte_bpe_50k.tiktoken").encode_ordinary("x" * 20))
     assert all(r.copies == 0 for r in rows if not r.tokens)
     out = {r.source: r for r in entry.queries()["p7_shares"](spark, d).collect()}
     assert set(out) == {"a", "b", "none"} and abs(out["a"].actual_share - 0.3) < 1e-3 and out["b"].tokens == used["b"] and out["none"].tokens == 0
