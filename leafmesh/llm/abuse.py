@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmesh.llm.abuse_seeds import HARMFUL, HARMLESS
-from leafmesh.llm.forms import column, fold
+from leafmesh.llm.forms import column, few, fold
 from leafmesh.llm.recurrent import CHAR_BUCKETS, HIDDEN, WORD_BUCKETS, Adam, Network
 
 #: Units of a window, and units from one window to the next.
@@ -249,8 +249,8 @@ def labelled_documents(documents: DataFrame, labels: DataFrame, most: int = MAX_
 
 def unlabelled_documents(documents: DataFrame, labels: DataFrame, most: int = MAX_UNLABELLED) -> list[str]:
     """At most `most` texts of documents without a label, chosen by a hash of the id."""
-    chosen = documents.where("text is not null and doc_id is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    return [r.text for r in chosen.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()]
+    chosen = documents.select("doc_id", "text").where("text is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    return [r.text for r in few(chosen, ["doc_id"], most).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()]
 
 
 SCORES = "doc_id bigint, source string, score double, windows bigint, hits bigint"

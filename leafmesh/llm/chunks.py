@@ -212,18 +212,20 @@ class Repeats:
     def __init__(self, by_source: dict[str, np.ndarray]) -> None:
         self.by_source = by_source
 
-    def without(self, source: str | None, texts: list[str]) -> list[str]:
-        """The texts without the lines that their source repeats."""
-        known = self.by_source.get(source) if source is not None else None
-        if known is None or not len(known) or not texts:
-            return texts
+    def without_all(self, sources: list[str | None], texts: list[str]) -> list[str]:
+        """The texts without the lines that the source of each repeats."""
         out = list(texts)
-        for a, z in safe_groups(texts):
-            x = long_lines(texts[a:z])
-            at = np.minimum(np.searchsorted(known, x["wording"]), len(known) - 1)
+        at = [k for k, (s, t) in enumerate(zip(sources, texts, strict=True)) if s in self.by_source and len(t) >= LEAST]
+        for a, z in safe_groups([texts[k] for k in at], 1 << 20):
+            x = long_lines([texts[k] for k in at[a:z]])
+            owner = np.array(at[a:z], dtype=np.int64)[x["text"]]
             drop: dict[int, set[int]] = {}
-            for k in np.flatnonzero(known[at] == x["wording"]):
-                drop.setdefault(int(x["text"][k]) + a, set()).add(int(x["line"][k]))
+            for s in {sources[k] for k in at[a:z]}:
+                known = self.by_source[s]
+                rows = np.flatnonzero([sources[k] == s for k in owner]) if len(owner) else owner
+                place = np.minimum(np.searchsorted(known, x["wording"][rows]), len(known) - 1)
+                for r in rows[known[place] == x["wording"][rows]]:
+                    drop.setdefault(int(owner[r]), set()).add(int(x["line"][r]))
             for k, lines in drop.items():
                 out[k] = "\n".join(t for n, t in enumerate(texts[k].split("\n"), 1) if n not in lines)
         return out

@@ -181,14 +181,8 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def batches_of(rows: Iterator[dict], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches."""
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
-
+def few(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The rows of at most `most` keys, chosen by a hash of the key; only keys are sent to the driver to choose them."""
+    there = df.where(" and ".join(f"{k} is not null" for k in keys))
+    chosen = there.select(*keys).distinct().orderBy(F.xxhash64(*keys), *keys).limit(most)
+    return there.join(F.broadcast(chosen), keys, "left_semi")

@@ -49,15 +49,18 @@ def kind(text: str | None, lexicon: frozenset[str] = frozenset()) -> str:
     lexicon: words of running text in lower case; with it, headings of two words are told from names of persons. The time
     taken is in proportion to the length of the text.
     """
-    lines = [x for x in (text or "").split("\n") if x.strip()]
-    if not lines:
+    tokens = (text or "").split()
+    if not tokens:
         return "empty"
-    one = " ".join(text.split())
+    if len(tokens) >= 12 and tokens[0][0].isalpha() and 5 * sum(map(FUNCTION_WORDS.__contains__, tokens)) >= len(tokens):
+        # so many function words stand in sentences only
+        return "caption" if CAPTION.match(text.lstrip()) else "statement" if STATEMENT.match(text.lstrip()) else "prose"
+    lines = [x for x in text.split("\n") if x.strip()]
+    one = " ".join(tokens)
     if CAPTION.match(one):
         return "caption"
     if STATEMENT.match(one):
         return "statement"
-    tokens = one.split(" ")
     words = WORD.findall(one)
     solid = len(one) - len(tokens) + 1
     letters = sum(map(len, words))

@@ -81,15 +81,25 @@ class Boosted:
             return self
         good, bad = y.sum(), len(y) - y.sum()
         target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+        def loss(a: float, c: float) -> float:
+            f = a * m + c
+            return float((np.logaddexp(0, f) - target * f).sum() + 0.01 * (a - 1) ** 2)
+
         a, c = 1.0, 0.0
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(a * m + c, -30, 30)))
-            d, h = p - target, np.maximum(p * (1 - p), 1e-6)
-            ga, gc = (d * m).sum() + 0.01 * (a - 1), d.sum()
-            haa, hac, hcc = (h * m * m).sum() + 0.01, (h * m).sum(), h.sum() + 1e-3
+            d, h = p - target, np.maximum(p * (1 - p), 1e-9)
+            ga, gc = (d * m).sum() + 0.02 * (a - 1), d.sum()
+            haa, hac, hcc = (h * m * m).sum() + 0.02, (h * m).sum(), h.sum() + 1e-6
             det = haa * hcc - hac * hac
-            a, c = a - (hcc * ga - hac * gc) / det * 0.5, c - (haa * gc - hac * ga) / det * 0.5
-        self.slope, self.shift = float(max(a, 1e-3)), float(c)
+            da, dc = (hcc * ga - hac * gc) / det, (haa * gc - hac * ga) / det
+            t, now = 1.0, loss(a, c)
+            while t > 1e-6 and loss(a - t * da, c - t * dc) > now:
+                t /= 2
+            a, c = a - t * da, c - t * dc
+            if t * (abs(da) + abs(dc)) < 1e-7:
+                break
+        self.slope, self.shift = float(max(a, 0.05)), float(c)
         return self
 
     def probability(self, x: np.ndarray) -> np.ndarray:
