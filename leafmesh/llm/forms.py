@@ -13,7 +13,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -181,6 +183,14 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def nested(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """An array of structs as one flat array, with the row of the batch and the place in its list of each element."""
+    lists = batch.column(batch.schema.get_field_index(name))
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.searchsorted(row, np.arange(batch.num_rows))
+    return row, np.arange(len(row)) - first[row] if len(row) else row, lists.flatten()
+
+
 def few(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     """The rows of at most `most` keys, chosen by a hash of the key; only keys are sent to the driver to choose them."""
     there = df.where(" and ".join(f"{k} is not null" for k in keys))
