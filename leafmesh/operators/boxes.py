@@ -51,14 +51,21 @@ def center(side: str = "") -> tuple[Column, Column]:
     return (_of(side, "x_min") + _of(side, "x_max")) / 2, (_of(side, "y_min") + _of(side, "y_max")) / 2
 
 
+def _shared(a: str, b: str, low: str, high: str) -> Column:
+    """Length that two intervals share; a missing end shares nothing, though greatest and least pass over it."""
+    ends = [_of(a, low), _of(a, high), _of(b, low), _of(b, high)]
+    there = reduce(lambda x, y: x & y, (e.isNotNull() for e in ends))
+    return F.when(there, F.greatest(F.lit(0.0), F.least(ends[1], ends[3]) - F.greatest(ends[0], ends[2]))).otherwise(F.lit(0.0))
+
+
 def x_overlap(a: str, b: str) -> Column:
     """Length that two boxes share across the page, 0 at least."""
-    return F.greatest(F.lit(0.0), F.least(_of(a, "x_max"), _of(b, "x_max")) - F.greatest(_of(a, "x_min"), _of(b, "x_min")))
+    return _shared(a, b, "x_min", "x_max")
 
 
 def y_overlap(a: str, b: str) -> Column:
     """Length that two boxes share down the page, 0 at least."""
-    return F.greatest(F.lit(0.0), F.least(_of(a, "y_max"), _of(b, "y_max")) - F.greatest(_of(a, "y_min"), _of(b, "y_min")))
+    return _shared(a, b, "y_min", "y_max")
 
 
 def _part(shared: Column, whole: Column) -> Column:

@@ -175,7 +175,7 @@ def reflowed(t: Column) -> Column:
 
 def heading_level(t: Column) -> Column:
     """The depth of a numbered heading, at most 4; 1 without number."""
-    number = F.regexp_extract(stripped(t), r"^([0-9]+(\.[0-9]+)*)\.?[ \t]", 1)
+    number = F.coalesce(F.regexp_extract(stripped(t), r"^([0-9]+(\.[0-9]+)*)\.?[ \t]", 1), F.lit(""))
     return F.when(number == "", 1).otherwise(F.least(F.regexp_count(number, F.lit(r"\.")) + 1, F.lit(4)))
 
 
