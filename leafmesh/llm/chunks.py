@@ -28,20 +28,23 @@ MIN_DOCUMENTS, MIN_SHARE = 4, 0.2
 
 assert LEAST >= GRAM - 1 + 2 * WINDOW - 1  # two windows without common hashes
 
+#: No letter has this code point or a higher one.
+LETTERS = 0x34000
+
 _TABLES: list[np.ndarray] = []
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case form and letter flag of each code point of the basic plane."""
+    """Folded case and letter flag of each code point that can be a letter; the last entry stands for all others."""
     if not _TABLES:
-        lower, letter = np.arange(0x10000, dtype=np.uint32), np.zeros(0x10000, dtype=bool)
-        for code in range(0x10000):
+        lower, letter = np.arange(LETTERS + 1, dtype=np.uint32), np.zeros(LETTERS + 1, dtype=bool)
+        for code in range(LETTERS):
             ch = chr(code)
             if ch.isalpha():
                 letter[code] = True
-                if len(small := ch.lower()) == 1:
+                if len(small := ch.casefold()) == 1:
                     lower[code] = ord(small)
         _TABLES.extend((lower, letter))
     return _TABLES[0], _TABLES[1]
@@ -61,8 +64,8 @@ def long_lines(texts: list[str]) -> dict[str, np.ndarray]:
         return empty
     lower, letter = _tables()
     codes = np.frombuffer("\n".join(map(fold, texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    low = np.minimum(codes, 0xFFFF)
-    is_letter = letter[low] & (codes < 0x10000)
+    low = np.minimum(codes, LETTERS)
+    is_letter = letter[low]
     breaks = codes == 10
     per_text = np.fromiter((t.count("\n") + 1 for t in texts), dtype=np.int64, count=len(texts))
     text_of_line = np.repeat(np.arange(len(texts)), per_text)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from leafmesh.pages import blocks
+from leafmesh.session import written
 
 # Letters of other alphabets and the Latin letters that have their shape; fixed values.
 _LOOK_ALIKE = {
@@ -63,17 +64,35 @@ def _map(ch: str) -> str:
     return ch
 
 
+_COMPOSING: set[str] = set()
+
+
+def _composing() -> set[str]:
+    """Characters whose quick check is Maybe: they may compose with one before them. Built once, from all decompositions."""
+    if not _COMPOSING:
+        _COMPOSING.update(chr(c) for c in range(0x1161, 0x11C3))
+        for code in (*range(0xC0, 0xD800), *range(0xE000, 0x20000)):
+            parts = unicodedata.decomposition(chr(code))
+            if parts and parts[0] != "<" and " " in parts:
+                _COMPOSING.update(chr(int(x, 16)) for x in parts.split(" ")[1:])
+    return _COMPOSING
+
+
 def _is_unstable(code: int) -> bool:
-    """Quick check of one code point: whether it, or what stands before it, may change."""
+    """Quick check of one code point: No or Maybe, or a combining class, or a character that the map takes to another."""
     ch = chr(code)
-    if unicodedata.combining(ch) or 0x1160 <= code <= 0x11FF or unicodedata.category(ch) == "Mc":
+    if unicodedata.combining(ch) or ch in _composing():
         return True
     return unicodedata.normalize("NFC", "".join(map(_map, unicodedata.normalize("NFD", ch)))) != ch
 
 
+#: Parts of the code space that hold characters beyond ASCII; ideographs of plane 2 and 3 are stable but for the compatible ones.
+_SPANS = (range(0x80, 0x3400), range(0x9FF0, 0xAC00), range(0xD7A4, 0xD800), range(0xE000, 0xE010), range(0xF900, 0x10000), range(0x10000, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0FFF))
+
+
 def _ranges() -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for span in (range(0x80, 0xD800), range(0xE000, 0x10000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0FFF)):
+    for span in _SPANS:
         for code in span:
             if _is_unstable(code):
                 if out and out[-1][1] == code - 1:
@@ -156,20 +175,32 @@ def _plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \n\r]+", " "))
 
 
+def look_alike_classes(pages: DataFrame) -> DataFrame:
+    """(document, form, block_id, plain): the blocks of the classes that look the same, where their characters differ.
+
+    `form` is a hash of the canonical text and numbers the class within its document, `plain` is one of the text with white
+    space made plain; both are of 96 bits. A class all of whose blocks are written alike gives no row. Null, blank and
+    invisible texts and rows without document or block id take no part. Blocks of a second delivery are the same blocks.
+    The hashes are written once, so the texts are read and normalised once.
+    """
+    b = blocks(pages.select("document", "page", "source", "blocks")).where("document is not null and block_id is not null and text is not null")
+    b = b.select("document", "block_id", canonical_column(F.col("text")).alias("form"), _plain(F.col("text")).alias("plain"))
+
+    def wide(c: str) -> Column:
+        return F.when(F.col(c) != "", F.struct(F.xxhash64(c).alias("a"), F.hash(c).alias("b"))).alias(c)
+
+    hashed = written(b.select("document", "block_id", wide("form"), wide("plain")), "forms").where("form is not null and plain is not null")
+    mixed = hashed.groupBy("document", "form").agg(F.min("plain").alias("lo"), F.max("plain").alias("hi")).where("lo <> hi").select("document", "form")
+    return hashed.join(mixed, ["document", "form"], "left_semi").groupBy("document", "form", "block_id").agg(F.max("plain").alias("plain"))
+
+
 def look_alike_pairs(pages: DataFrame) -> DataFrame:
     """(document, block_id_a, block_id_b): blocks of one document that look the same though their characters differ.
 
-    Blocks are compared by 64-bit hashes of their canonical form and of their plain text, within one document.
-    Only forms that occur with two or more plain texts are joined, so a form repeated unchanged costs nothing.
-    Null, blank and invisible texts and rows without document or block id take part in no pair. Blocks of a second
-    delivery are the same blocks. Ids are ordered as strings; an empty input gives no rows.
+    The pairs of `look_alike_classes`: only blocks of one class are joined, and only classes of two or more spellings have
+    any. Ids are ordered as strings; an empty input gives no rows.
     """
-    b = blocks(pages.select("document", "page", "source", "blocks")).where("document is not null and block_id is not null")
-    b = b.select("document", "block_id", canonical_column(F.col("text")).alias("form"), _plain(F.col("text")).alias("plain"))
-    hashed = b.where("form is not null and form <> ''").select("document", "block_id", F.xxhash64("form").alias("form"), F.xxhash64("plain").alias("plain"))
-    hashed = hashed.groupBy("document", "form", "block_id").agg(F.max("plain").alias("plain"))
-    mixed = hashed.groupBy("document", "form").agg(F.min("plain").alias("lo"), F.max("plain").alias("hi")).where("lo <> hi")
-    members = hashed.join(mixed.select("document", "form"), ["document", "form"], "left_semi")
+    members = look_alike_classes(pages)
     a, z = members.alias("a"), members.alias("z")
     return (
         a.join(z, (F.col("a.document") == F.col("z.document")) & (F.col("a.form") == F.col("z.form")) & (F.col("a.plain") != F.col("z.plain")) & (F.col("a.block_id") < F.col("z.block_id")))

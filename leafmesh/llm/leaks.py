@@ -186,4 +186,13 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     return texts.mapInArrow(search, "doc_id bigint, item_id bigint").distinct()
 
 
-__all__ = ["Items", "leaked", "readings"]
+def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `documents` whose text holds no passage of an item; rows without doc_id or text are kept.
+
+    Leaking ids are joined as they are, by a shuffle where they are many; all columns stay.
+    """
+    bad = leaked(documents, items).select("doc_id").distinct()
+    return documents.join(bad, "doc_id", "left_anti")
+
+
+__all__ = ["Items", "leaked", "readings", "without_leaks"]

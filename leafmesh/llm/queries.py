@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmesh.llm import abuse, answers, noise, quality
-from leafmesh.llm.chunks import repeated_lines
-from leafmesh.llm.forms import look_alike_pairs
-from leafmesh.llm.leaks import leaked
+from leafmesh.llm.chunks import repeated_lines, texts_without_repeats
+from leafmesh.llm.forms import canonical_blocks, look_alike_pairs
+from leafmesh.llm.leaks import leaked, without_leaks
 from leafmesh.llm.mixing import copies, shares
 from leafmesh.pages import table
 
@@ -21,6 +22,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "source_pages"))
 
 
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, page, block_id, text, changed): the canonical text of each block."""
+    return canonical_blocks(table(spark, sf_dir, "source_pages"))
+
+
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, page, block_id, text, cut): each block's text without the lines that its source repeats."""
+    return texts_without_repeats(table(spark, sf_dir, "source_pages"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document, block_id, line_no): lines that a source puts into many of its documents."""
     return repeated_lines(table(spark, sf_dir, "source_pages")).select("document", "block_id", "line_no")
@@ -56,6 +67,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold no passage of a held-out item."""
+    return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, documents): how many documents leak each item."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
 def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, tokens, copies): how often each record of the mixed sources is used."""
     return copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -81,7 +102,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_paragraphs, p5_found, p5_statistics, p6_found, p7_copies, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_texts, p3_found, p4_found, p4_paragraphs, p5_found, p5_statistics, p6_found, p6_items, p6_clean, p7_copies, p7_shares, p8_found, p8_scores, p8_rates)}
 
 #: SQL is given only where it is as fast on whole tables; the operators here are tested against brute force instead.
 ORACLES: dict[str, str] = {}
