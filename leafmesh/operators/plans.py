@@ -42,7 +42,7 @@ def class_of(t: Column = None, y: Column = None) -> Column:  # noqa: RUF013
     y = F.col("y_min") if y is None else y
     margin = T.yes((y < 62) | (y > 745))
     return (
-        F.when(T.is_blank(t), "empty")
+        F.when(t.isNull() | T.is_blank(t), "empty")
         .when(margin & T.is_decorated_page_number(t), "page_number")
         .when(margin, "furniture")
         .when(T.is_caption(t), "caption")

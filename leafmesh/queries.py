@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmesh import sources
+from leafmesh import pipeline, records, sources
 from leafmesh import sql as S
 from leafmesh.operators import boxes, clusters, layout, plans, review
 from leafmesh.operators import text as T
@@ -747,3 +747,50 @@ def repeated_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary of the line items by flag, as a reader of any table gives it."""
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
+# ---------------------------------------------------------------------------------------------- the whole run
+
+
+@query()
+def page_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of each page."""
+    c = pipeline.components(page_blocks(spark, sf_dir))
+    return c.withColumn("block_ids", F.array_join("block_ids", ","))
+
+
+_USABLE = f"a.answer is not null and not {S.is_blank('a.answer')} and not {S.is_untranslated('b.text', 'a.answer')}"
+
+
+@query(f"""with {BLOCKS}, {ANSWERS} select b.document, b.page, b.pos, b.block_id,
+  case when coalesce(b.preserve_image, false) or {S.class_of('b.text', 'b.y_min')} in ('formula', 'cell') then 'image' when {S.class_of('b.text', 'b.y_min')} in ('empty', 'page_number', 'furniture') then 'skip' else 'text' end as kind, ({_USABLE}) as translated
+from blocks b left join answers a on a.document = b.document and a.page = b.page and a.block_id = b.block_id""")
+def plan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each block is to be drawn, and whether with its answer."""
+    b, a = page_blocks(spark, sf_dir), latest_answers(spark, sf_dir)
+    usable = F.col("answer").isNotNull() & ~T.is_blank(F.col("answer")) & ~T.is_untranslated(F.col("text"), F.col("answer"))
+    flags = b.select(*PAGE, "block_id", "text").join(a, [*PAGE, "block_id"], "left").select(*PAGE, "block_id", usable.alias("translated"))
+    return pipeline.items(b, a).select(*PAGE, "pos", "block_id", "kind").join(flags, [*PAGE, "block_id"]).select("document", "page", "pos", "block_id", "kind", "translated")
+
+
+@query()
+def plan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's plan as JSON."""
+    b, a = page_blocks(spark, sf_dir), latest_answers(spark, sf_dir)
+    return records.page_plans(pipeline.items(b, a), plans.ledger(b, a))
+
+
+@query()
+def plan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the plans of all pages, read back from JSON; no row means nothing."""
+    return records.plan_problems(plan_json(spark, sf_dir))
+
+
+@query(f"""{_PACKED}, {ANSWERS}, k as (select r.document, r.page, r.batch, count(*) as blocks, count(case when a.answer is not null and trim(a.answer) <> '' then 1 end) as got from r left join answers a on a.document = r.document and a.page = r.page and a.block_id = r.block_id group by all)
+select document, count(*) as batches, count_if(got = blocks) as complete, sum(blocks)::bigint as blocks from k group by document""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many batches of each document are answered in full."""
+    packed = plans.pack(page_blocks(spark, sf_dir))
+    a = latest_answers(spark, sf_dir).where("answer is not null and trim(answer) <> ''").select(*PAGE, "block_id").withColumn("there", F.lit(1))
+    g = packed.join(a, [*PAGE, "block_id"], "left").groupBy(*PAGE, "batch").agg(F.count("*").alias("blocks"), F.count("there").alias("got"))
+    return g.groupBy("document").agg(F.count("*").alias("batches"), F.count_if(F.col("got") == F.col("blocks")).alias("complete"), F.sum("blocks").alias("blocks"))

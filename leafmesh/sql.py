@@ -190,7 +190,7 @@ def is_garbled(t: str) -> str:
 def class_of(t: str = "text", y: str = "y_min") -> str:
     margin = f"coalesce({y} < 62 or {y} > 745, false)"
     return (
-        f"case when {is_blank(t)} then 'empty' when {margin} and {is_decorated(t)} then 'page_number' when {margin} then 'furniture' when {is_caption(t)} then 'caption' "
+        f"case when {t} is null or {is_blank(t)} then 'empty' when {margin} and {is_decorated(t)} then 'page_number' when {margin} then 'furniture' when {is_caption(t)} then 'caption' "
         f"when {is_reference_heading(t)} then 'reference_heading' when {is_reference_item(t)} then 'reference' when {is_formula(t)} or {is_equation_label(t)} then 'formula' "
         f"when {is_numeric_column(t)} or {is_metric(t)} then 'cell' when {is_statement(t)} then 'statement' when {is_heading(t)} then 'heading' when {is_prose(t)} then 'prose' else 'other' end"
     )
