@@ -162,9 +162,10 @@ def canonical_column(text: Column) -> Column:
 def canonical_blocks(pages: DataFrame) -> DataFrame:
     """(document, page, block_id, text, changed): each block's canonical text, and whether more than plain white space changed.
 
-    Null texts stay null and count as unchanged; second deliveries of a page count once; an empty input gives no rows.
+    Null texts stay null and count as unchanged; second deliveries of a page count once; rows without document or block id are
+    left out; an empty input gives no rows.
     """
-    b = blocks(pages.select("document", "page", "source", "blocks"))
+    b = blocks(pages.select("document", "page", "source", "blocks")).where("document is not null and block_id is not null")
     out = b.select("document", "page", "block_id", canonical_column(F.col("text")).alias("form"), _plain(F.col("text")).alias("plain"))
     out = out.select("document", "page", "block_id", F.col("form").alias("text"), F.coalesce(F.col("form") != F.col("plain"), F.lit(False)).alias("changed"))
     return out.dropDuplicates(["document", "page", "block_id"])
