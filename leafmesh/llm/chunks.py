@@ -152,6 +152,26 @@ def chunked_lines(pages: DataFrame) -> DataFrame:
     return b.mapInArrow(_chunk_lines, LINES_DDL)
 
 
+#: Wordings that are sent to all tasks at most; beyond that they are joined by the shuffle.
+MOST_WORDINGS = 500_000
+#: Parts that the lines of one key are spread over in such a join.
+SALTS = 32
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salt: str) -> DataFrame:
+    """`big` joined with the few rows of `small`, though one key may hold a third of all rows of `big`.
+
+    `small` is written and counted: at most MOST_WORDINGS rows are sent to all tasks; otherwise each of its rows is repeated
+    for SALTS parts, into which the rows of `big` fall by the hash of the column `salt`.
+    """
+    few = written(small, "small")
+    if few.limit(MOST_WORDINGS + 1).count() <= MOST_WORDINGS:
+        return big.join(F.broadcast(few), keys)
+    part = F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")
+    parts = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_part", part).join(parts, [*keys, "_part"]).drop("_part")
+
+
 def excessive(lines: DataFrame, pages: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """The rows of `lines` whose wording is repeated excessively within its source.
 
@@ -162,10 +182,10 @@ def excessive(lines: DataFrame, pages: DataFrame, min_documents: int = MIN_DOCUM
     sizes = sizes.select("source", F.greatest(F.lit(min_documents), F.ceil(F.col("_n") * min_share - F.lit(1e-9))).alias("_least"))
     chunks = lines.select("source", "anchor", F.xxhash64("document").alias("_d")).distinct().groupBy("source", "anchor").agg(F.count("*").alias("_docs"))
     repeated = chunks.where(F.col("_docs") >= min_documents).join(sizes, "source").where("_docs >= _least").select("source", "anchor", "_least")
-    candidates = lines.join(repeated, ["source", "anchor"])
+    candidates = spread_join(lines, repeated, ["source", "anchor"], "document")
     wordings = candidates.select("source", "anchor", "wording", "_least", F.xxhash64("document").alias("_d")).distinct()
     wordings = wordings.groupBy("source", "anchor", "wording").agg(F.count("*").alias("documents"), F.first("_least").alias("_least")).where("documents >= _least")
-    return candidates.drop("_least").join(wordings.drop("_least"), ["source", "anchor", "wording"])
+    return spread_join(candidates.drop("_least"), wordings.drop("_least"), ["source", "anchor", "wording"], "document")
 
 
 def repeated_lines(pages: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -205,10 +225,6 @@ def repeated_wordings(pages: DataFrame, **limits: float) -> DataFrame:
     return named.select("source", F.element_at(F.split("text", "\n"), F.col("at.line_no")).alias("line"), "documents", "lines")
 
 
-#: Wordings that are sent to all tasks at most; beyond that the lines are joined to their pages.
-MOST_WORDINGS = 500_000
-
-
 class Repeats:
     """The excessively repeated wordings of each source, as sorted arrays of hashes."""
 

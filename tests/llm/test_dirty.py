@@ -95,3 +95,13 @@ def test_hot_source_and_ties(spark):
     rows = [(f"d{k}", 1, "hot" if k % 3 else f"s{k % 5}", [block("b1", f"{LINE}\n{''.join(draw.choices('abcdefgh ', k=60))}")], 1) for k in range(90)]
     p = spark.createDataFrame(rows, PAGES + ", loaded_at int").repartition(7)
     assert chunks.repeated_lines(p).where("line_no = 1").count() == 90
+
+
+def test_joins_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch):
+    rows = [(f"d{k}", 1, "hot" if k % 3 else f"s{k % 5}", [block("b1", f"{LINE}\n{LINE} {chr(97 + k % 4) * 9}\nown {k}")], 1) for k in range(60)]
+    p = spark.createDataFrame(rows, PAGES + ", loaded_at int")
+    few = {tuple(r) for r in chunks.repeated_lines(p).collect()}
+    by_set = {r.document: r for r in quality.judged(p).collect()}
+    monkeypatch.setattr(chunks, "MOST_WORDINGS", 0)
+    assert {tuple(r) for r in chunks.repeated_lines(p).collect()} == few and len(few) > 60
+    assert {r.document: r for r in quality.judged(p).collect()} == by_set
