@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmesh import pipeline, records, sources
 from leafmesh import sql as S
-from leafmesh.operators import boxes, clusters, layout, plans, review
+from leafmesh.operators import boxes, clusters, layout, plans, review, windows
 from leafmesh.operators import text as T
 from leafmesh.operators.boxes import BOX, PAGE
 from leafmesh.pages import blocks, latest_pages, table
@@ -794,3 +794,87 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = latest_answers(spark, sf_dir).where("answer is not null and trim(answer) <> ''").select(*PAGE, "block_id").withColumn("there", F.lit(1))
     g = packed.join(a, [*PAGE, "block_id"], "left").groupBy(*PAGE, "batch").agg(F.count("*").alias("blocks"), F.count("there").alias("got"))
     return g.groupBy("document").agg(F.count("*").alias("batches"), F.count_if(F.col("got") == F.col("blocks")).alias("complete"), F.sum("blocks").alias("blocks"))
+
+
+# ---------------------------------------------------------------------------------------------- what stands near
+
+
+@query(f"""with {BLOCKS} select a.document, a.page, a.block_id as caption_id, count(*) as blocks, min(b.x_min) as x_min, min(b.y_min) as y_min, max(b.x_max) as x_max, max(b.y_max) as y_max
+from blocks a join blocks b on a.document = b.document and a.page = b.page and a.pos <> b.pos and {S.is_caption('a.text')} and b.y_max <= a.y_min + 8 and b.y_min >= a.y_min - 140 and {S.x_overlap()} > 0 and not {S.is_prose('b.text')} and not {S.is_caption('b.text')}
+group by a.document, a.page, a.block_id""")
+def caption_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each caption with the blocks in a band above it."""
+    return windows.caption_windows(page_blocks(spark, sf_dir))
+
+
+@query(f"""with {BLOCKS} select distinct a.document, a.page, a.block_id from blocks a join blocks b on a.document = b.document and a.page = b.page and a.pos <> b.pos and not {S.is_prose('a.text')} and {S.is_metric('b.text')}
+and {S.part(S.y_overlap(), f"least({S.height('a')}, {S.height('b')})")} >= 0.45 and greatest(a.x_min, b.x_min) - least(a.x_max, b.x_max) <= 130 and {S.width('a')} <= 360""")
+def row_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that stand in one row with a cell of figures."""
+    return windows.row_aligned(page_blocks(spark, sf_dir), T.is_metric_cell(F.col("text")))
+
+
+_DISTANCE = "greatest(0.0, greatest(a.y_min, b.y_min) - least(a.y_max, b.y_max))"
+
+
+@query(f"""with {BLOCKS}, s as (select * from blocks where {S.yes(f"length({S.flat('text')}) <= 30 and len({S.tokens('text')}) between 1 and 2")} and not {S.needs_translation('text')}),
+c as (select a.document, a.page, a.block_id as fragment_id, b.block_id as target_id, {_DISTANCE} as distance, row_number() over (partition by a.document, a.page, a.pos order by {_DISTANCE}, b.pos) as rn
+  from s a join blocks b on a.document = b.document and a.page = b.page and a.pos <> b.pos and {S.is_prose('b.text')} and {S.x_ratio()} >= 0.35 and {_DISTANCE} <= 96)
+select document, page, fragment_id, target_id, distance from c where rn = 1""")
+def fragment_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that each short fragment belongs to."""
+    return windows.fragment_targets(page_blocks(spark, sf_dir))
+
+
+@query(f"""with {BLOCKS}, h as (select a.document, a.page, a.block_id, b.block_id as other, row_number() over (partition by a.document, a.page, a.pos order by b.y_min, b.x_min, b.pos) as k, count(*) over (partition by a.document, a.page, a.pos) as n
+  from blocks a join blocks b on a.document = b.document and a.page = b.page and {S.is_prose('a.text')} and (b.y_min + b.y_max) / 2 between a.y_min - 20 and a.y_max + 20)
+select document, page, block_id, count(*) as "rows", max(case when k = 1 then other end) as first_id, max(case when k = n then other end) as last_id from h group by document, page, block_id""")
+def band_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks in a band around each prose block."""
+    return windows.in_band(page_blocks(spark, sf_dir))
+
+
+@query(f"""with {BLOCKS}, c as (select a.document, a.page, a.block_id as fragment_id, b.block_id as holder_id, a.y_min, a.pos, row_number() over (partition by a.document, a.page, a.pos order by {S.area('b')}, b.pos) as rn
+  from blocks a join blocks b on a.document = b.document and a.page = b.page and a.pos <> b.pos and b.x_min <= a.x_min + 1.5 and b.y_min <= a.y_min + 1.5 and b.x_max >= a.x_max - 1.5 and b.y_max >= a.y_max - 1.5 and {S.area('b')} >= {S.area('a')} * 6)
+select document, page, fragment_id, holder_id, row_number() over (partition by document, page, holder_id order by y_min, pos)::int as place from c where rn = 1""")
+def contained_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small blocks that lie in much larger ones."""
+    return windows.contained_fragments(page_blocks(spark, sf_dir))
+
+
+@query(f"""with {BLOCKS}, l as (select a.document, a.page, a.pos, coalesce(max(case when b.y_max <= a.y_min then b.y_max + 2 end), 0.0) as above, coalesce(min(case when b.y_min >= a.y_max then b.y_min - 2 end), 801.0) as below
+  from blocks a left join blocks b on a.document = b.document and a.page = b.page and a.pos <> b.pos and ({S.x_ratio()} >= 0.15 or {S.x_overlap()} >= 12) group by a.document, a.page, a.pos),
+g as (select b.document, b.page, b.pos, b.y_min, {S.height('b')} + 6.0 as need, above, greatest(b.y_max, least(below, b.y_min + {S.height('b')} + 6.0)) as bottom from blocks b join l on l.document = b.document and l.page = b.page and l.pos = b.pos)
+select document, page, pos, least(y_min, greatest(above, bottom - need)) as y_min, bottom as y_max, bottom - least(y_min, greatest(above, bottom - need)) >= need - 1e-6 as fits from g""")
+def boxes_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's box grown by six points where there is room."""
+    return windows.grown(page_blocks(spark, sf_dir).withColumn("need", boxes.height() + 6.0))
+
+
+@query(f"""with {BLOCKS}, f as (select document, min(page) as page from blocks group by document), b as (select blocks.* from blocks join f on f.document = blocks.document and f.page = blocks.page where not {S.MARGIN}),
+m as (select *, sum({S.is_prose('text')}::int) over (partition by document order by pos rows unbounded preceding) as prose, row_number() over (partition by document order by pos) as k from b)
+select document, page, block_id, case when k = 1 and {S.is_heading('text')} then 'title' when {S.like(S.flat('text'), '^[A-Z][A-Za-z.-]*( [A-Z][A-Za-z.-]*){1,3}$')} and k > 1 then 'authors' else 'other' end as role from m where prose = 0""")
+def first_page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the blocks above the first prose of each document are."""
+    return windows.first_page_roles(page_blocks(spark, sf_dir))
+
+
+@query(f"""with {BLOCKS}, b as (select document, page, block_id, floor(x_min + 0.5) as x, floor(y_min + 0.5) as y from blocks), o as (select document, x, y, count(distinct page) as pages from b group by all having count(distinct page) >= 3)
+select b.document, b.block_id, b.page, o.pages from b join o on o.document = b.document and o.x = b.x and o.y = b.y""")
+def places_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that stand at the same place on several pages."""
+    return windows.across_pages(page_blocks(spark, sf_dir))
+
+
+@query(f"""with {BLOCKS}, n as (select document, page, pos, block_id, y_min, nullif(regexp_extract(text, '^[ \\t\\n]*\\(([0-9]{{1,3}})\\)', 1), '')::int as number from blocks),
+r as (select *, row_number() over (partition by document, page order by number, pos) as by_number, row_number() over (partition by document, page order by y_min, pos) as by_place, max(number) over w - min(number) over w + 1 = count(*) over w as whole from n where number is not null window w as (partition by document, page))
+select a.document, a.page, a.block_id, a.number, case when a.whole then b.y_min else a.y_min end as y_min from r a join r b on a.document = b.document and a.page = b.page and a.by_number = b.by_place""")
+def numbered_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered items of each page in the order of their numbers."""
+    return windows.numbered_in_order(page_blocks(spark, sf_dir))
+
+
+@query()
+def qa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least likeness of the answers of each document, and the blocks that have it."""
+    return windows.worst_by_document(qa_similarity(spark, sf_dir))
