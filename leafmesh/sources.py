@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmesh.operators import plans
 from leafmesh.operators import text as T
 from leafmesh.operators.boxes import BOX, PAGE
 
@@ -98,3 +103,75 @@ def report_lines(issues: DataFrame, most: int = 20) -> DataFrame:
     line = F.concat(F.lit("- page "), F.col("page").cast("string"), F.lit(": "), "check", F.lit(" ("), F.array_join("block_ids", ", "), F.lit(")"))
     top = issues.withColumn("rank", rank).where(F.col("rank") <= most).select("document", "rank", line.alias("line"))
     return top.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l")).select("document", F.array_join("l.line", "\n").alias("report"))
+
+
+# ---------------------------------------------------------------------------------------------- images, keys, reports
+
+
+def page_images(spark: SparkSession, path: str, glob: str = "page-*.png") -> DataFrame:
+    """(document, page, content): the page images below a folder; a page's document is the folder that it lies in."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("document"), F.regexp_extract("path", r"page-0*([0-9]+)\.", 1).cast("int").alias("page"), "content")
+
+
+def missing_pages(expected: DataFrame, there: DataFrame) -> DataFrame:
+    """(document, page): the pages that are expected and not there."""
+    return expected.select(*PAGE).distinct().join(there.select(*PAGE), [*PAGE], "left_anti")
+
+
+def recognised(images: DataFrame, engine: Callable[[bytes], list[tuple[float, float, float, float, str, float]]], least_score: float = 0.45) -> DataFrame:
+    """(document, page, pos, block_id, x_min, y_min, x_max, y_max, text, score): lines that `engine` reads in page images.
+
+    The engine gets an image and gives (x_min, y_min, x_max, y_max, text, score) of each line. Lines below the least score are
+    dropped; the rest are numbered from the top, and from the left where they begin at one height.
+    """
+    schema = pa.schema([("document", pa.string()), ("page", pa.int32()), ("pos", pa.int32()), ("block_id", pa.string()), *((c, pa.float64()) for c in BOX), ("text", pa.string()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lines = sorted((x for x in engine(row["content"]) if x[5] >= least_score and x[4].strip()), key=lambda x: (x[1], x[0]))
+                out = [(row["document"], row["page"], k, f"p{row['page']:03d}b{k + 1:04d}", *map(float, x[:4]), x[4], float(x[5])) for k, x in enumerate(lines)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    ddl = "document string, page int, pos int, block_id string, " + ", ".join(f"{c} double" for c in BOX) + ", text string, score double"
+    return images.select(*PAGE, "content").mapInArrow(run, ddl)
+
+
+def source_keys(files: DataFrame, **settings: object) -> DataFrame:
+    """(document, key): the hash by which what was extracted from a file (document, content) with these settings is kept."""
+    told = json.dumps(settings, sort_keys=True)
+    return files.select("document", F.sha2(F.concat("content", F.encode(F.lit(told), "UTF-8")), 256).alias("key"))
+
+
+def prompts(requests: DataFrame, instruction: str, glossary: dict[str, str] | None = None) -> DataFrame:
+    """Requests with what is sent to the model: the instruction, the glossary, and the batch's texts as JSON."""
+    head = instruction + "".join(f"\n{a} = {b}" for a, b in sorted((glossary or {}).items())) + "\n"
+    listed = F.to_json(F.transform("items", lambda x: F.struct(x.block_id.alias("id"), x.text.alias("text"))))
+    return requests.withColumn("prompt", F.concat(F.lit(head), listed))
+
+
+def report_json(summary: DataFrame, issues: DataFrame, most: int = 100) -> DataFrame:
+    """(document, json): each document's counts by severity and its first issues as JSON with keys in order."""
+    rank = F.row_number().over(Window.partitionBy("document").orderBy(plans.severity_rank(F.col("severity")).desc(), "page", "check", F.array_join("block_ids", ",")))
+    one = F.struct(F.col("rank"), F.struct(F.array_sort("block_ids").alias("block_ids"), F.col("check"), F.col("message"), F.col("page"), F.col("severity")).alias("issue"))
+    listed = issues.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("document").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    joined = summary.join(listed, "document", "left")
+    return joined.select("document", F.to_json(F.struct("error", "highest", "info", F.coalesce(F.col("l.issue"), F.array()).alias("issues"), "pages", "warning")).alias("json"))
+
+
+def published(df: DataFrame, path: str) -> None:
+    """Writes a table beside its place and moves it there, so that a reader sees all of it or none; what was there stays as path.old."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ending) for ending in (".new", ".old"))
+    df.write.mode("overwrite").parquet(staged.toString())
+    if files.exists(target):
+        files.delete(old, True)
+        if not files.rename(target, old):
+            raise OSError(f"{path} can't be set aside")
+    if not files.rename(staged, target):
+        raise OSError(f"{path} can't be published")
