@@ -117,8 +117,42 @@ def long_lines(texts: list[str]) -> dict[str, np.ndarray]:
     }
 
 
-def safe_groups(texts: list[str], most: int = 1 << 24) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with at most `most` characters together, or a single longer text: the place of a cut has 28 bits."""
+def line_wordings(texts: list[str], folded: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line, wording) of the lines of at least LEAST letters, as `long_lines` has them, without any chunk.
+
+    folded: the texts have canonical characters already.
+    """
+    lower, letter = _tables()
+    codes = np.frombuffer("\n".join(texts if folded else map(fold, texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    low = np.minimum(codes, LETTERS)
+    is_letter = letter[low]
+    per_text = np.fromiter((t.count("\n") + 1 for t in texts), dtype=np.int64, count=len(texts))
+    text_of_line = np.repeat(np.arange(len(texts)), per_text)
+    first_line = np.cumsum(per_text) - per_text
+    line_of = np.cumsum(codes == 10)[is_letter]
+    letters = np.bincount(line_of, minlength=len(text_of_line))
+    keep = np.flatnonzero(letters >= LEAST)
+    ends = np.cumsum(letters)
+    hashed = _mix(lower[low[is_letter]].astype(np.uint64) + np.uint64(0x1234567))
+    power = np.full(len(hashed) + 1, _BASE, dtype=np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    prefix = np.zeros(len(hashed) + 1, dtype=np.uint64)
+    np.cumsum(hashed * power[:-1], out=prefix[1:])
+    inverse = np.full(len(hashed) + 1, _INVERSE, dtype=np.uint64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    z = ends[keep]
+    a = z - letters[keep]
+    wording = _mix((prefix[z] - prefix[a]) * inverse[a])
+    return text_of_line[keep], keep - first_line[text_of_line[keep]] + 1, wording.view(np.int64)
+
+
+def safe_groups(texts: list[str], most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most `most` characters together, or a single longer text: arrays that fit the cache are faster.
+
+    The place of a cut has 28 bits, so a single text may have 2^28 letters.
+    """
     begin, size = 0, 0
     for k, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -230,21 +264,25 @@ class Repeats:
 
     def __init__(self, by_source: dict[str, np.ndarray]) -> None:
         self.by_source = by_source
+        self.every = np.unique(np.concatenate([*by_source.values(), np.zeros(0, dtype=np.int64)]))
 
     def without_all(self, sources: list[str | None], texts: list[str]) -> list[str]:
-        """The texts without the lines that the source of each repeats."""
+        """The texts, of canonical characters, without the lines that the source of each repeats."""
         out = list(texts)
-        at = [k for k, (s, t) in enumerate(zip(sources, texts, strict=True)) if s in self.by_source and len(t) >= LEAST]
-        for a, z in safe_groups([texts[k] for k in at], 1 << 20):
-            x = long_lines([texts[k] for k in at[a:z]])
-            owner = np.array(at[a:z], dtype=np.int64)[x["text"]]
+        at = [k for k, (s, t) in enumerate(zip(sources, texts, strict=True)) if s in self.by_source and len(t) >= LEAST] if len(self.every) else []
+        for a, z in safe_groups([texts[k] for k in at]):
+            text, line, wording = line_wordings([texts[k] for k in at[a:z]], True)
+            if not len(text):
+                continue
+            # a wording that no source repeats is no candidate; for the few others the own source decides
+            place = np.minimum(np.searchsorted(self.every, wording), len(self.every) - 1)
             drop: dict[int, set[int]] = {}
-            for s in {sources[k] for k in at[a:z]}:
-                known = self.by_source[s]
-                rows = np.flatnonzero([sources[k] == s for k in owner]) if len(owner) else owner
-                place = np.minimum(np.searchsorted(known, x["wording"][rows]), len(known) - 1)
-                for r in rows[known[place] == x["wording"][rows]]:
-                    drop.setdefault(int(owner[r]), set()).add(int(x["line"][r]))
+            for r in np.flatnonzero(self.every[place] == wording).tolist():
+                k = at[a + int(text[r])]
+                known = self.by_source[sources[k]]
+                where = np.searchsorted(known, wording[r])
+                if where < len(known) and known[where] == wording[r]:
+                    drop.setdefault(k, set()).add(int(line[r]))
             for k, lines in drop.items():
                 out[k] = "\n".join(t for n, t in enumerate(texts[k].split("\n"), 1) if n not in lines)
         return out

@@ -102,23 +102,22 @@ def _ranges() -> list[tuple[int, int]]:
     return out
 
 
-_SEGMENT: re.Pattern[str] | None = None
+_UNSTABLE: re.Pattern[str] | None = None
 
 
-def _segment() -> re.Pattern[str]:
-    """A run of unstable characters with the character before it; built once per process, from character properties."""
-    global _SEGMENT
-    if _SEGMENT is None:
+def _unstable() -> re.Pattern[str]:
+    """A run of unstable characters; built once per process, from character properties."""
+    global _UNSTABLE
+    if _UNSTABLE is None:
         inner = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges())
-        _SEGMENT = re.compile(f".?[{inner}]+", re.DOTALL)
-    return _SEGMENT
+        _UNSTABLE = re.compile(f"[{inner}]+")
+    return _UNSTABLE
 
 
 _SEEN: dict[str, str] = {}
 
 
-def _settle(match: re.Match[str]) -> str:
-    run = match.group()
+def _settle(run: str) -> str:
     out = _SEEN.get(run)
     if out is None:
         out = unicodedata.normalize("NFC", "".join(map(_map, unicodedata.normalize("NFD", run))))
@@ -128,8 +127,24 @@ def _settle(match: re.Match[str]) -> str:
 
 
 def fold(text: str) -> str:
-    """The canonical characters of a text; line breaks and runs of spaces stay."""
-    return text if text.isascii() else _segment().sub(_settle, text)
+    """The canonical characters of a text; line breaks and runs of spaces stay.
+
+    Runs of unstable characters are settled together with the character before them and spliced into the rest.
+    """
+    if text.isascii():
+        return text
+    out: list[str] = []
+    last = 0
+    for m in _unstable().finditer(text):
+        begin, end = m.span()
+        begin = max(last, begin - 1)
+        out.append(text[last:begin])
+        out.append(_settle(text[begin:end]))
+        last = end
+    if not last:
+        return text
+    out.append(text[last:])
+    return "".join(out)
 
 
 def canonical(text: str | None) -> str | None:

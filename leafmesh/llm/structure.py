@@ -34,6 +34,7 @@ _INDEX = re.compile(r"[^\d\s],\s*\d+(?:[-–]\d+)?(?:,\s*\d+(?:[-–]\d+)?)*,?\s
 _LEADER = re.compile(r"(?:(?:\.\s?){3}|…)\s*\w{1,6}\s*$")
 _NAME_WORD = re.compile(r"(?:[^\W\d_]\.)+|[^\W\d_]+(?:-[^\W\d_]+)?")
 _FORMULA = re.compile(r"[=≤≥<>∑∏∫√∧∨¬∀∃∈∉⊂⊆∪∩±×÷·λαβγδεθμπσφω²³ᵢ₀-₉]")
+_ASCII_DIGIT = re.compile(r"[0-9]")
 _CJK = re.compile(r"[㐀-鿿぀-ヿ가-힯]")
 
 
@@ -64,34 +65,36 @@ def kind(text: str | None, lexicon: frozenset[str] = frozenset()) -> str:
     words = WORD.findall(one)
     solid = len(one) - len(tokens) + 1
     letters = sum(map(len, words))
-    digits = sum(map(str.isdigit, one))
+    plain = one.isascii()
+    digits = len(_ASCII_DIGIT.findall(one)) if plain else sum(map(str.isdigit, one))
     symbols = solid - letters - digits
-    if len(_CJK.findall(one)) > 0.3 * solid:
+    if not plain and len(_CJK.findall(one)) > 0.3 * solid:
         return "prose" if SENTENCE_END.search(one) or solid > 40 else "heading"
     small = [w.lower() for w in words]
-    function = sum(w in FUNCTION_WORDS for w in small) / max(1, len(small))
+    function = sum(map(FUNCTION_WORDS.__contains__, small)) / max(1, len(small))
     ended = len(SENTENCE_END.findall(one))
     n = len(lines)
     if n > 1 or solid > 40:
-        if sum(map(bool, map(_REFERENCE.match, lines))) * 6 >= n and _REFERENCE.match(lines[0]):
+        if _REFERENCE.match(lines[0]) and sum(map(bool, map(_REFERENCE.match, lines))) * 6 >= n:
             return "list"
-        if 10 * sum(bool(_LEADER.search(x[-40:])) for x in lines) >= 6 * n:
+        if (".." in one or ". ." in one or "…" in one) and 10 * sum(bool(_LEADER.search(x[-40:])) for x in lines) >= 6 * n:
             return "list"
-        if 10 * sum(map(bool, map(_BULLET.match, lines))) >= 6 * n and n > 1 and function < 0.3:
+        if n > 1 and function < 0.3 and 10 * sum(map(bool, map(_BULLET.match, lines))) >= 6 * n:
             return "list"
-        if n > 1 and 10 * sum(bool(_INDEX.search(x[-80:])) for x in lines) >= 6 * n:
+        if n > 1 and digits and "," in one and 10 * sum(bool(_INDEX.search(x[-80:])) for x in lines) >= 6 * n:
             return "list"
-        latin1 = sum("\x80" <= c <= "\xff" or c in "€™œ" for c in one)
+        latin1 = 0 if plain else sum("\x80" <= c <= "\xff" or c in "€™œ" for c in one)
         if solid >= 20 and (symbols > 0.3 * solid or latin1 > 0.3 * solid):
             return "junk"
         if letters + digits > 60 and solid > 28 * len(tokens):
             return "junk"
-        numeric = sum(1 for t in tokens if len(t) < 40 and _NUMERIC.match(t))
+        numeric = sum(1 for t in tokens if len(t) < 40 and _NUMERIC.match(t)) if digits or symbols else 0
         if numeric * 10 >= 4 * len(tokens) or digits > 0.3 * solid or sum("\t" in x or x.count("|") > 1 for x in lines) * 2 > n:
             return "table"
-        longer = [w for w in small if len(w) > 2]
-        if len(longer) > 4 and sum(not _VOWEL.search(w) for w in longer) > 0.35 * len(longer):
-            return "junk"
+        if function < 0.2:
+            longer = [w for w in small if len(w) > 2]
+            if len(longer) > 4 and sum(not _VOWEL.search(w) for w in longer) > 0.35 * len(longer):
+                return "junk"
     if letters == 0 or (len(tokens) == 1 and digits):
         return "cell" if digits or solid < 3 else "formula"
     if solid <= 40 and _FORMULA.search(one) and (symbols + digits) * 3 > solid and function < 0.25:

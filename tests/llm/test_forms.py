@@ -44,3 +44,10 @@ def test_letters_beyond_the_basic_plane_count():
     assert len(found["wording"]) == 3 and found["wording"][0] == found["wording"][2] != found["wording"][1]
     greek = chunks.long_lines(["ΔΣΦΩΛΣ" * 5, "δσφωλς" * 5])
     assert greek["wording"][0] == greek["wording"][1]
+
+
+def test_wordings_without_chunks_are_the_same():
+    texts = ["Short\nThis line has more than twenty-eight letters in it, 12\n\nand this one, too, has more than twenty-eight", "", "ÄÖÜ äöü ﬁ " * 5 + "\n" + "x" * 28, "y" * 27]
+    all_of = chunks.long_lines(texts)
+    text, line, wording = chunks.line_wordings(texts)
+    assert (all_of["text"] == text).all() and (all_of["line"] == line).all() and (all_of["wording"] == wording).all() and len(text) == 4
