@@ -114,6 +114,16 @@ def _unstable() -> re.Pattern[str]:
     return _UNSTABLE
 
 
+_LATIN: list[bytes] = []
+
+
+def _latin() -> bytes:
+    """The unstable characters below 256; a text of the other ones is stable."""
+    if not _LATIN:
+        _LATIN.append(bytes(c for a, b in _ranges() for c in range(a, b + 1) if c < 0x100))
+    return _LATIN[0]
+
+
 _SEEN: dict[str, str] = {}
 
 
@@ -133,6 +143,13 @@ def fold(text: str) -> str:
     """
     if text.isascii():
         return text
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        if len(raw.translate(None, _latin())) == len(raw):
+            return text
     out: list[str] = []
     last = 0
     for m in _unstable().finditer(text):
