@@ -186,7 +186,7 @@ def _canonical_udf(texts):  # noqa: ANN001, ANN202
 
 def canonical_column(text: Column) -> Column:
     """The canonical form of a column. Stable texts, by far the most, never leave the JVM."""
-    unstable = text.rlike(MAY_CHANGE)
+    unstable = (F.octet_length(text) != F.length(text)) & text.rlike(MAY_CHANGE)
     settled = _canonical_udf(F.when(unstable, text))
     return F.when(unstable, settled).otherwise(F.trim(F.regexp_replace(text, r"[\s\u001c-\u001f]+", " ")))
 
