@@ -108,8 +108,9 @@ def shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer
     of = copies(documents, targets, seed, tokenizer).groupBy("source").agg(
         F.count("*").alias("records"), F.sum("copies").cast("bigint").alias("used"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     rows = targets.where("source is not null").select("source", "target_share", "max_repeats").join(of, "source", "left").fillna(0, ["records", "used", "tokens"])
-    everything = of.agg(F.sum("tokens").alias("_all"))
-    return rows.crossJoin(F.broadcast(everything)).withColumn("actual_share", F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0)).drop("_all")
+    # one row per source of the targets
+    rows = rows.withColumn("_all", F.sum("tokens").over(Window.partitionBy(F.lit(1))))
+    return rows.withColumn("actual_share", F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0)).drop("_all")
 
 
 __all__ = ["copies", "counted", "encoding", "shares", "uses"]
