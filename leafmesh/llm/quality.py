@@ -26,7 +26,7 @@ from leafmesh.llm.trees import Boosted
 from leafmesh.pages import BOTTOM_MARGIN, TOP_MARGIN
 from leafmesh.session import written
 
-#: Documents, chosen by a hash of their name, that the trees are fitted on at most; pages whose words tell headings from names.
+#: Documents, chosen by a hash of their name, that the trees are fitted on at most; pages for each of which a word of running text is counted thrice.
 TRAINING_DOCUMENTS, LEXICON_PAGES = 4000, 300
 #: Documents of at least this probability are no prose.
 THRESHOLD = 0.5
@@ -42,6 +42,7 @@ STATISTICS = (
     "numeric_share", "vowelless_share", "bullet_line_share", "comma_line_share", "tab_line_share", "capital_share", "long_word_share", "words_per_sentence", "latin1_ratio",
     "list_share", "table_share", "junk_share",
 )
+_RUNNING_WORD = re.compile(r"\b[a-zäöüßéèàçñ]{2,}\b")
 _VOWELS = frozenset("aeiouyäöüáàâéèêëíìîïóòôúùû")
 _LIST, _TABLE = frozenset(("list", "names")), frozenset(("table", "cell", "formula"))
 
@@ -181,15 +182,37 @@ def statistics_of(sums: dict[str, Column | float]) -> dict[str, Column]:
     }
 
 
-def running_words(pages: DataFrame, most: int = LEXICON_PAGES, least: int = 3) -> frozenset[str]:
-    """Words in lower case that stand often on at most `most` pages, chosen by a hash of their key."""
-    chosen = few(pages.select("document", "page", F.col("blocks.text").alias("texts")), ["document", "page"], most).where("texts is not null")
-    count: Counter[str] = Counter()
-    for r in chosen.collect():
-        for t in r.texts:
-            if t:
-                count.update(re.findall(r"\b[a-zäöüßéèàçñ]{2,}\b", fold(t)))
-    return frozenset(w for w, n in count.items() if n >= least)
+def running_words(pages: DataFrame, per: int = LEXICON_PAGES, least: int = 3) -> frozenset[str]:
+    """Words in lower case that stand `least` times at least, and as often for each `per` pages, counted over all pages.
+
+    The bound goes with the pages: a name that a large corpus happens to hold in lower case does not become a word. Words so
+    frequent are few, whatever the corpus holds; only they are sent to the driver. Each delivery of a page is counted.
+    """
+    there = pages.where("document is not null and page is not null and blocks is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            # pieces were counted as they stand; words are taken from the distinct ones
+            words: Counter[str] = Counter()
+            for piece, n in pieces.items():
+                for w in _RUNNING_WORD.findall(fold(piece)):
+                    words[w] += n
+            pieces.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in pc.list_flatten(batch.column(0)).to_pylist():
+                if text:
+                    pieces.update(text.split())
+            if len(pieces) > 500_000:
+                yield flush()
+        if pieces:
+            yield flush()
+
+    counts = there.select(F.col("blocks.text").alias("texts")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r.word for r in counts.where(F.col("n") >= least * max(1.0, there.count() / per)).select("word").collect())
 
 
 def sums(pages: DataFrame) -> DataFrame:

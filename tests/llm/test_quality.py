@@ -58,3 +58,18 @@ def test_kind_of_long_capital_lines():
 
     assert kind("ALL RIGHTS TO THIS COPY STAY WITH PINECREST FORUM, 1997.") == "prose"
     assert kind("Halund Nirosk\nYelode Zavrin") == "names" and kind("Related Work", frozenset(["work"])) == "heading"
+
+
+def test_running_words_are_counted_over_all_pages(spark):
+    from leafmesh.llm.forms import few
+
+    def pages(with_word):
+        rows = [(f"d{k}", 1, None, [block("b1", "The parser reads it." + (" An ambit." if f"d{k}" in with_word else "")), block("b2", None)]) for k in range(600)]
+        return spark.createDataFrame([*rows, ("none", 1, None, None), (None, 1, None, [block("b1", "none none none")])], PAGES)
+
+    sampled = {r.document for r in few(pages(()), ["document", "page"], 300).select("document").collect()}
+    others = sorted({f"d{k}" for k in range(600)} - sampled)
+    assert quality.running_words(pages(others[:7])) == {"parser", "reads", "it", "ambit"}
+    # as rare in proportion as twice in 300 pages
+    assert quality.running_words(pages(others[:4])) == {"parser", "reads", "it"}
+    assert quality.running_words(pages(()).where("false")) == frozenset()
