@@ -2,14 +2,16 @@
 
 An answer is split into clauses, and a conditional random field tags each as answer, refusal, echo, foreign or unfinished.
 The characters under each tag, and how much of the block the answering clauses cover, make the defect of the pair. The
-field is trained on sound pairs of a bounded sample and on defects made from them: answers cut short, refusals and texts
-in other languages put in their place, and the block itself given back.
+field is trained on sound pairs and on defects made from them: answers cut short, refusals and texts in other languages put
+in their place, and the block itself given back. It begins with a sample; a pass over all pairs goes on from there.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,13 +24,17 @@ from leafmesh.llm.answers_seeds import COURTESIES, FOREIGN, REFUSALS
 from leafmesh.llm.chunks import repeated_lines
 from leafmesh.llm.crf import Chain
 from leafmesh.llm.forms import column, few, fold
+from leafmesh.llm.quality import running_words
 from leafmesh.llm.structure import kind
 from leafmesh.pages import blocks, in_margin, latest_pages
+from leafmesh.session import written
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN_TAG, UNFINISHED = range(5)
-#: Pages of answers, chosen by a hash of their key, from whose pairs the field is trained.
+#: Pages of answers, chosen by a hash of their key, with whose pairs training begins; pages for each of which a word of running text is counted thrice.
 TRAINING_PAGES = 700
+#: Length of a step in the pass over all pairs.
+RATE = 0.05
 #: Steps of training; buckets of pairs of characters.
 STEPS, BUCKETS = 140, 1 << 12
 #: Kinds of block whose answers are judged.
@@ -193,22 +199,33 @@ class Model:
 
     def fit(self, answers: list[str], asked: list[Block], tags: list[int], cut: list[bool], steps: int = STEPS) -> None:
         """tags: the tag of all clauses of an answer; cut: whether its last clause is unfinished."""
-        c = Clauses(answers, asked)
-        y = np.array(tags, dtype=np.int64)[c.of]
-        last = np.append(c.of[1:] != c.of[:-1], True)
-        y[last & np.array(cut, dtype=bool)[c.of]] = UNFINISHED
-        params = [self.dense, self.hashed, self.chain.first, self.chain.last, self.chain.step]
+        c, y = self.marked(answers, asked, tags, cut)
+        params = self.weights()
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
-            _, de, g = self.chain.gradients(c.emissions(self.dense, self.hashed), c.lengths, y)
-            scaled = de * c.scale[:, None]
-            gh = np.stack([np.bincount(c.bucket, weights=scaled[c.pair_of, k], minlength=BUCKETS) for k in range(5)], axis=1)
-            grads = [c.dense.T @ de + 1e-4 * self.dense, gh + 2e-4 * self.hashed, g["first"], g["last"], g["step"]]
-            for k, (p, d) in enumerate(zip(params, grads, strict=True)):
+            for k, (p, d) in enumerate(zip(params, self.gradients(c, y)[1], strict=True)):
                 m[k] = 0.9 * m[k] + 0.1 * d
                 v[k] = 0.99 * v[k] + 0.01 * d * d
                 p -= 0.08 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
 
+    def marked(self, answers: list[str], asked: list[Block], tags: list[int], cut: list[bool]) -> tuple[Clauses, np.ndarray]:
+        """The clauses of answers with their tags."""
+        c = Clauses(answers, asked)
+        y = np.array(tags, dtype=np.int64)[c.of]
+        last = np.append(c.of[1:] != c.of[:-1], True)
+        y[last & np.array(cut, dtype=bool)[c.of]] = UNFINISHED
+        return c, y
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.dense, self.hashed, self.chain.first, self.chain.last, self.chain.step]
+
+    def gradients(self, c: Clauses, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The loss of an answer, and the gradients of the weights."""
+        loss, de, g = self.chain.gradients(c.emissions(self.dense, self.hashed), c.lengths, y)
+        scaled = de * c.scale[:, None]
+        gh = np.stack([np.bincount(c.bucket, weights=scaled[c.pair_of, k], minlength=BUCKETS) for k in range(5)], axis=1)
+        return loss, [c.dense.T @ de + 1e-4 * self.dense, gh + 2e-4 * self.hashed, g["first"], g["last"], g["step"]]
+
     def defects(self, answers: list[str | None], asked: list[Block]) -> list[str | None]:
         """The defect of each pair, or None."""
         plain = [a or "" for a in answers]
@@ -325,16 +342,57 @@ def training_pairs(pages: DataFrame, translations: DataFrame, most: int = TRAINI
     return [(r.text, r.answer) for r in sorted(b.dropDuplicates(["document", "id"]).collect(), key=lambda r: (r.document, r.id))]
 
 
-def train(sample: list[tuple[str, str | None]]) -> Model:
-    """The field fitted on a sample of (block, answer); answers may be None."""
-    words: Counter[str] = Counter()
-    for text, _ in sample:
-        words.update(re.findall(r"\b[a-zäöüßéèàçñ]{2,}\b", fold(text)))
-    lexicon = frozenset(w for w, n in words.items() if n >= 3)
-    sound = []
-    for text, answer in sample:
-        if answer and kind(fold(text), lexicon) in JUDGED and is_sound(Block(text), answer):
-            sound.append((text, answer))
+def sound_of(pairs: list[tuple[str, str | None]], lexicon: frozenset[str]) -> list[tuple[str, str]]:
+    """The pairs that may stand for good ones in training."""
+    return [(text, answer) for text, answer in pairs if answer and is_sound(Block(text), answer) and kind(fold(text), lexicon) in JUDGED]
+
+
+def refined(model: Model, pairs: DataFrame) -> Model:
+    """The field after a pass over all pairs of (text, answer).
+
+    Each task goes on from the model by a gradient step for each batch of its sound pairs and the defects made from them; the
+    weights of the tasks are averaged by the answers that they saw. Only sums of weights are sent to the driver.
+    """
+    schema = pa.schema([("slot", pa.int32()), ("value", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = copy.deepcopy(model), 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                sound = sound_of(list(zip(column(part, "text"), column(part, "answer"), strict=True)), model.lexicon)
+                if sound:
+                    made = training_set(sound, zlib.crc32(sound[0][0].encode("utf-8", "surrogatepass")))
+                    c, y = own.marked(*made)
+                    if len(y):
+                        for p, d in zip(own.weights(), own.gradients(c, y)[1], strict=True):
+                            p -= RATE * d
+                        seen += len(made[0])
+        if seen:
+            flat = np.concatenate([*(w.ravel() for w in own.weights()), np.ones(1)]) * seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], schema=schema)
+
+    sums = pairs.select("text", "answer").mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
+    if not sums:
+        return model
+    flat = np.zeros(len(sums))
+    for r in sums:
+        flat[r.slot] = r.value
+    out, at = copy.deepcopy(model), 0
+    for w in out.weights():
+        w[...] = flat[at : at + w.size].reshape(w.shape) / flat[-1]
+        at += w.size
+    return out
+
+
+def train(sample: list[tuple[str, str | None]], lexicon: frozenset[str] | None = None) -> Model:
+    """The field fitted on a sample of (block, answer); answers may be None. Without a lexicon the words of the sample are it."""
+    if lexicon is None:
+        words: Counter[str] = Counter()
+        for text, _ in sample:
+            words.update(re.findall(r"\b[a-zäöüßéèàçñ]{2,}\b", fold(text)))
+        lexicon = frozenset(w for w, n in words.items() if n >= 3)
+    sound = sound_of(sample, lexicon)
     model = Model(lexicon)
     if sound:
         model.fit(*training_set(sound))
@@ -373,10 +431,12 @@ def defects(pages: DataFrame, translations: DataFrame) -> DataFrame:
 
     Entries without a block, and blocks that are no prose, caption, statement or heading, are left out; a null answer is
     empty; of several deliveries of a page of answers the last counts; null maps, ids and texts take no part. Extra columns
-    are ignored; empty tables give no rows. The field is trained by the driver on the pairs of at most TRAINING_PAGES pages.
+    are ignored; empty tables give no rows. Words are counted over all pages. The driver begins the training of the field with
+    the pairs of at most TRAINING_PAGES pages; the tasks go on with all pairs, which are written once and read twice.
     """
-    model = train(training_pairs(pages, translations))
-    return _paired(pages, translations).mapInArrow(tagger(model), "document string, block_id string, defect string").distinct()
+    pairs = written(_paired(pages, translations), "pairs")
+    model = refined(train(training_pairs(pages, translations), running_words(pages, TRAINING_PAGES)), pairs)
+    return pairs.mapInArrow(tagger(model), "document string, block_id string, defect string").distinct()
 
 
-__all__ = ["Block", "Clauses", "Model", "defects", "train", "training_set"]
+__all__ = ["Block", "Clauses", "Model", "defects", "refined", "train", "training_set"]

@@ -74,3 +74,33 @@ def test_defects_of_dirty_tables(spark):
     assert {x for x in got if x[0] in ("d0", "d1")} == {("d0", "b1", "refusal"), ("d1", "b1", "empty")}
     assert len(got) <= 6 and all(b == "b1" for _, b, _ in got)
     assert answers.defects(p.where("false"), t.where("false")).count() == 0
+
+
+def test_a_pass_over_all_pairs_goes_on_from_the_sample(spark):
+    start = answers.train([pair(k) for k in range(12)], frozenset(("parser",)))
+    assert start.lexicon == {"parser"}
+    made = answers.training_set([pair(k) for k in range(5000, 5200)], 8)
+
+    def loss(model):
+        return model.gradients(*model.marked(*made))[0]
+
+    before, rows = loss(start), [pair(k) for k in range(12, 4000)]
+    model = answers.refined(start, spark.createDataFrame([*rows, ("The parser reads it.", None), ("x", "")], "text string, answer string").repartition(2))
+    assert loss(start) == before and loss(model) < before and model.lexicon == start.lexicon
+    assert answers.refined(start, spark.createDataFrame([("x", None)], "text string, answer string")) is start
+    # every sound pair takes part, not only those of the sample
+    met = answers.refined(answers.Model(), spark.createDataFrame([("Ꝏ reads the cache of it.", "读取它的缓存。")] * 3, "text string, answer string"))
+    assert any(w.any() for w in met.weights())
+
+
+def test_words_are_counted_over_all_pages(spark, monkeypatch):
+    pages, rows = [], []
+    for k in range(60):
+        text, good = pair(k)
+        pages.append((f"d{k}", 1, None, [block("b1", text), block("b2", "The ambit.")]))
+        rows.append((f"d{k}", 1, {"b1": good}, 1))
+    seen = []
+    monkeypatch.setattr(answers, "training_pairs", lambda *_: [pair(k) for k in range(40)])
+    monkeypatch.setattr(answers, "tagger", lambda model, real=answers.tagger: seen.append(model) or real(model))
+    answers.defects(spark.createDataFrame(pages, PAGES), spark.createDataFrame(rows, "document string, page int, translations map<string,string>, returned_at int")).count()
+    assert "ambit" in seen[0].lexicon
