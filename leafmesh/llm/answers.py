@@ -37,6 +37,10 @@ TRAINING_PAGES = 700
 RATE = 0.05
 #: Steps of training; buckets of pairs of characters.
 STEPS, BUCKETS = 140, 1 << 12
+# Pairs of characters are hashed by it; twice it is under 2^31.
+PRIME = 1_000_000_007
+#: Words that a title may have.
+TITLE_WORDS = 16
 #: Kinds of block whose answers are judged.
 JUDGED = frozenset(("prose", "caption", "statement", "heading"))
 # Words that stand where an answer was not filled in; fixed values.
@@ -44,18 +48,35 @@ PLACEHOLDERS = frozenset("na n/a null none nil nan undefined tbd todo empty blan
 
 _SPACE, _MARK, _HAN, _LATIN, _DIGIT, _OTHER = range(6)
 _ENDS = frozenset("。！？!?；;\n…｡")
-_STOP = re.compile(r"(?<![.…])[.!?。！？](?!\.)[\"'”’)）\]」]*(?=\s|$)|[。！？]")
+# these begin with the mark itself, which is found much faster than what may stand before it
+_STOP = re.compile(r"[.!?。！？](?:(?<=[。！？])|(?<![.…].)(?!\.)[\"'”’)）\]」]*(?=\s|$))")
+_NUMBERED = re.compile(r"\.\s+\d")
 _ABBREVIATION = re.compile(r"\b[^\W\d_]{1,4}\.(?=\s+\d)")
 _TERMINAL = re.compile(r"[.!?。！？:：][\s\"'”’)）\]」]*$")
+_COMMAS = frozenset("，,、；;（(")
+_TERMINALS = frozenset(".!?。！？:：")
+_CLOSERS = "\"'”’)）]」" + "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _ELLIPSIS = re.compile(r"(?:…|\.{3}|。{2,}|⋯)[\s\"'”’)）\]」]*$")
 _WORDS = re.compile(r"[^\W\d_]{2,}")
+_IDEOGRAPHS = re.compile("[㐀-鿿]+")
+_FULL_STOPS = re.compile("[。！？]+")
+_PIECES = re.compile(r"(?<=[。！？；，])")
+_DIVIDED = re.compile(r"[-­¬](?<=\w.)\s*\n\s*")
+_WIDE_LETTER = re.compile(r"[^\W\d_\x00-\xff]")
+# Latin-1 with a space for all that is no letter
+_LETTERS = bytes(c if chr(c).isalnum() and not chr(c).isdecimal() else 32 for c in range(256))
+_AS_MARK = bytes(32 if c == 32 else 97 for c in range(256))
 _TABLES: list[np.ndarray] = []
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class and lower-case form of each code point of the basic plane; ideographs beyond it are told by their code."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point of the basic plane: its class, its end mark (1; of a sentence 2), and what its lower-case form adds to the hash of a pair as first and as second.
+
+    Digits are all one digit there. Ideographs beyond the plane are told by their code.
+    """
     if not _TABLES:
-        cls, low = np.full(0x10000, _MARK, dtype=np.int64), np.arange(0x10000, dtype=np.int64)
+        mark = np.array([2 if chr(c) in "。！？!?" else chr(c) in _ENDS for c in range(0x10000)], dtype=np.int8)
+        cls, low = np.full(0x10000, _MARK, dtype=np.int8), np.arange(0x10000, dtype=np.int64)
         for code in range(0x10000):
             ch = chr(code)
             cat = unicodedata.category(ch)
@@ -69,24 +90,74 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
                 cls[code] = _DIGIT
             if len(small := ch.lower()) == 1:
                 low[code] = ord(small)
-        _TABLES.extend((cls, low))
-    return _TABLES[0], _TABLES[1]
+        low[cls == _DIGIT] = 48
+        _TABLES.extend((cls, mark, (low * 31_337 % PRIME).astype(np.int32), (low * 1_000_003 % PRIME).astype(np.int32)))
+    return _TABLES[0], _TABLES[1], _TABLES[2], _TABLES[3]
 
 
 class Block:
-    """What is asked of the answer to a block: its sentences, its letters, whether it breaks off itself, and its words."""
+    """What is asked of the answer to a block: its sentences, its letters, whether it breaks off itself, and its words, counted as far as a title may have."""
 
-    __slots__ = ("han", "letters", "open", "sentences", "text", "words")
+    __slots__ = ("_canonical", "_known", "han", "letters", "open", "sentences", "text", "words")
 
     def __init__(self, text: str) -> None:
         self.text = text
         body = text.strip()
-        plain = _ABBREVIATION.sub(lambda m: m.group()[:-1], body)
+        plain = _ABBREVIATION.sub(lambda m: m.group()[:-1], body) if _NUMBERED.search(body) else body
         self.sentences = len(_STOP.findall(plain))
-        self.open = not _TERMINAL.search(body)
-        self.letters = sum(map(len, _WORDS.findall(body)))
-        self.words = len(body.split())
-        self.han = sum("㐀" <= c <= "鿿" for c in body) if not body.isascii() else 0
+        self.open = body.rstrip(_CLOSERS)[-1:] not in _TERMINALS
+        self.letters = _letters(body)
+        self.words = len(body.split(None, TITLE_WORDS))
+        self.han = _ideographs(body) if not body.isascii() else 0
+        self._canonical: str | None = None
+        self._known: frozenset[str] | None = None
+
+    def canonical(self) -> str:
+        """The text in canonical characters; made once."""
+        if self._canonical is None:
+            self._canonical = fold(self.text)
+        return self._canonical
+
+    def known(self) -> frozenset[str]:
+        """The block's words in canonical lower case, those divided at a line end also as one; made once."""
+        if self._known is None:
+            own = self.canonical().casefold()
+            words = _words(own)
+            if "\n" in own and (joined := _DIVIDED.sub("", own)) != own:
+                words += _words(joined)
+            self._known = frozenset(words)
+        return self._known
+
+
+def _spaced(text: str) -> bytes | None:
+    """The text in Latin-1 with a space for each character that is no letter; None if it holds letters beyond Latin-1."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        if _WIDE_LETTER.search(text):
+            return None
+        raw = text.encode("latin-1", "replace")
+    return raw.translate(_LETTERS)
+
+
+def _letters(text: str) -> int:
+    """Letters of a text that stand in words of two letters or more."""
+    spaced = _spaced(text)
+    if spaced is None:
+        return sum(map(len, _WORDS.findall(text)))
+    marks = b" " + spaced.translate(_AS_MARK) + b" "
+    single = marks.replace(b" ", b"  ") if b" a a " in marks else marks
+    return len(marks) - marks.count(b" ") - single.count(b" a ")
+
+
+def _words(text: str) -> list[str]:
+    """The words that _WORDS finds, and such of one letter."""
+    spaced = _spaced(text)
+    return _WORDS.findall(text) if spaced is None else spaced.decode("latin-1").split()
+
+
+def _ideographs(text: str) -> int:
+    return sum(map(len, _IDEOGRAPHS.findall(text)))
 
 
 DENSE = 40
@@ -96,22 +167,25 @@ class Clauses:
     """The clauses of many answers with their features: arrays over clauses, and over the pairs of their characters."""
 
     def __init__(self, answers: list[str], asked: list[Block]) -> None:
-        cls, low = _tables()
+        cls, mark, as_first, as_second = _tables()
         n = len(answers)
         lengths = np.fromiter(map(len, answers), dtype=np.int64, count=n)
-        codes = np.frombuffer("".join(answers).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        codes = np.frombuffer("".join(answers).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         small = np.minimum(codes, 0xFFFF)
-        kinds = np.where(codes > 0xFFFF, np.where(codes >= 0x20000, _HAN, _MARK), cls[small])
-        owner = np.repeat(np.arange(n), lengths)
-        ends = np.isin(codes, np.array([ord(c) for c in _ENDS]))
-        following = np.append(kinds[1:], _SPACE)
+        kinds = cls[small]
+        if (codes > 0xFFFF).any():
+            kinds = np.where(codes > 0xFFFF, np.where(codes >= 0x20000, _HAN, _MARK), kinds).astype(np.int8)
+        owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        marks = mark[small]
+        ends = marks > 0
+        following = np.append(kinds[1:], np.int8(_SPACE))
         ends |= (codes == ord(".")) & (following == _SPACE)
-        stops = np.isin(codes, np.array([ord(c) for c in "。！？!?."])) & ends
+        stops = (marks > 1) | (codes == ord(".")) & ends
         cut = np.zeros(len(codes), dtype=bool)
         if len(codes):
             cut[1:] = (ends[:-1] & (following[:-1] != _MARK)) | (owner[1:] != owner[:-1])
             cut[0] = True
-        number = np.cumsum(cut) - 1
+        number = np.cumsum(cut, dtype=np.int32) - 1
         total = int(number[-1]) + 1 if len(codes) else 0
         counts = np.bincount(number * 6 + kinds, minlength=total * 6).reshape(-1, 6) if total else np.zeros((0, 6), dtype=np.int64)
         solid = counts[:, _HAN] + counts[:, _LATIN] + counts[:, _DIGIT] + counts[:, _OTHER]
@@ -122,7 +196,6 @@ class Clauses:
         self.of, self.solid = of[kept], solid[kept]
         self.lengths = np.bincount(self.of, minlength=n)
         self.han = np.bincount(self.of, weights=counts[kept, _HAN], minlength=n)
-        self.visible = np.bincount(owner, weights=kinds != _SPACE, minlength=n).astype(np.int64)
         self.solids = np.bincount(self.of, weights=self.solid, minlength=n).astype(np.int64)
         # an end mark counts once where several stand together
         single = stops & ~np.append(np.zeros(1, dtype=bool), (stops & (following >= 0))[:-1])[: len(stops)]
@@ -130,15 +203,14 @@ class Clauses:
         self._dense(answers, asked, counts[kept], sentences, begins[kept] if total else kept, finish[kept] if total else kept, np.cumsum(lengths) - lengths)
         # pairs of neighbouring characters, white space left out, each within one clause
         there = np.flatnonzero(kinds != _SPACE)
-        letters = low[small[there]]
-        new = np.full(total + 1, -1)
+        letters = small[there]
+        new = np.full(total + 1, -1, dtype=np.int32)
         new[kept] = np.arange(len(kept))
         clause = new[number[there]] if len(there) else there
-        both = (clause[1:] == clause[:-1]) & (clause[1:] >= 0) if len(there) else np.zeros(0, dtype=bool)
-        # digits carry nothing here
-        letters = np.where(kinds[there] == _DIGIT, 48, letters)
-        self.bucket = ((letters[:-1] * 31_337 + letters[1:] * 1_000_003) % 1_000_000_007 % BUCKETS)[both] if len(there) else np.zeros(0, dtype=np.int64)
-        self.pair_of = clause[1:][both] if len(there) else np.zeros(0, dtype=np.int64)
+        both = np.flatnonzero((clause[1:] == clause[:-1]) & (clause[1:] >= 0))
+        hashed = as_first[letters[both]] + as_second[letters[both + 1]] if len(both) else np.zeros(0, dtype=np.int32)
+        self.bucket = (np.where(hashed >= PRIME, hashed - PRIME, hashed) % BUCKETS).astype(np.int64)
+        self.pair_of = clause[both].astype(np.int64)
         per = np.bincount(self.pair_of, minlength=len(kept))
         self.scale = 1.0 / np.sqrt(np.maximum(per, 1))
 
@@ -150,11 +222,11 @@ class Clauses:
         b_letters = np.array([b.letters for b in asked], dtype=float)
         b_open = np.array([b.open for b in asked], dtype=bool)
         b_sentences = np.array([b.sentences for b in asked], dtype=np.int64)
-        heading = b_open & np.array([b.words <= 16 and b.sentences == 0 for b in asked], dtype=bool)
+        heading = b_open & np.array([b.words <= TITLE_WORDS and b.sentences == 0 for b in asked], dtype=bool)
         tails = [a.rstrip()[-8:] for a in answers]
         closed = np.array([bool(_TERMINAL.search(t)) for t in tails], dtype=bool)
         dots = np.array([bool(_ELLIPSIS.search(t)) for t in tails], dtype=bool)
-        comma = np.array([t[-1:] in tuple("，,、；;（(") and t != "" for t in tails], dtype=bool)
+        comma = np.array([t[-1:] in _COMMAS for t in tails], dtype=bool)
         lacking = b_sentences - sentences
         ratio = self.han / np.maximum(1.0, b_letters)
         first = np.append(True, self.of[1:] != self.of[:-1]) if n else np.zeros(0, dtype=bool)
@@ -170,23 +242,22 @@ class Clauses:
         )):
             x[:, k] = v
         # words that the clause shares with the block; only clauses with letters other than ideographs can
-        for i in np.flatnonzero((latin + other >= 0.3) & (self.solid >= 2)):
-            b = asked[p[i]]
-            a = int(offset[p[i]])
-            clause = fold(answers[p[i]][int(begins[i]) - a : int(finish[i]) - a]).casefold()
-            words = _WORDS.findall(clause)
-            if words and b.han * 2 < max(1, b.letters):
-                own = fold(b.text).casefold()
-                known = set(_WORDS.findall(re.sub(r"(?<=\w)[-­¬]\s*\n\s*", "", own))) | set(_WORDS.findall(own))
-                share = sum(w in known for w in words) / len(words)
-                x[i, 33], x[i, 34], x[i, 35], x[i, 36] = share >= 0.3, share >= 0.6, share >= 0.85, share < 0.3
+        rows = np.flatnonzero((latin + other >= 0.3) & (self.solid >= 2))
+        share = np.full(len(rows), np.nan)
+        for k, (row, a, z) in enumerate(zip(p[rows].tolist(), (begins[rows] - offset[p[rows]]).tolist(), (finish[rows] - offset[p[rows]]).tolist(), strict=True)):
+            b = asked[row]
+            if b.han * 2 < max(1, b.letters):
+                words = [w for w in _words(fold(answers[row][a:z]).casefold()) if len(w) > 1]
+                if words:
+                    share[k] = sum(map(b.known().__contains__, words)) / len(words)
+        x[rows, 33], x[rows, 34], x[rows, 35], x[rows, 36] = share >= 0.3, share >= 0.6, share >= 0.85, share < 0.3
         self.dense = x
 
     def emissions(self, dense: np.ndarray, hashed: np.ndarray) -> np.ndarray:
         out = self.dense @ dense
         if len(self.bucket):
             at = np.flatnonzero(np.append(True, self.pair_of[1:] != self.pair_of[:-1]))
-            sums = np.add.reduceat(hashed[self.bucket], at, axis=0)
+            sums = np.stack([np.add.reduceat(own[self.bucket], at) for own in np.ascontiguousarray(hashed.T)], axis=1)
             out[self.pair_of[at]] += sums * self.scale[self.pair_of[at], None]
         return out
 
@@ -222,8 +293,8 @@ class Model:
     def gradients(self, c: Clauses, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """The loss of an answer, and the gradients of the weights."""
         loss, de, g = self.chain.gradients(c.emissions(self.dense, self.hashed), c.lengths, y)
-        scaled = de * c.scale[:, None]
-        gh = np.stack([np.bincount(c.bucket, weights=scaled[c.pair_of, k], minlength=BUCKETS) for k in range(5)], axis=1)
+        scaled = np.ascontiguousarray((de * c.scale[:, None]).T)
+        gh = np.stack([np.bincount(c.bucket, weights=scaled[k][c.pair_of], minlength=BUCKETS) for k in range(5)], axis=1)
         return loss, [c.dense.T @ de + 1e-4 * self.dense, gh + 2e-4 * self.hashed, g["first"], g["last"], g["step"]]
 
     def defects(self, answers: list[str | None], asked: list[Block]) -> list[str | None]:
@@ -232,20 +303,19 @@ class Model:
         c = Clauses(plain, asked)
         tags = self.chain.tag(c.emissions(self.dense, self.hashed), c.lengths) if len(c.of) else np.zeros(0, dtype=np.int64)
         n = len(plain)
-        share = np.zeros((n, 5))
-        np.add.at(share, (c.of, tags), c.solid)
+        share = np.bincount(c.of * 5 + tags, weights=c.solid, minlength=5 * n).reshape(n, 5)
         out: list[str | None] = []
-        for k, a in enumerate(plain):
-            total = max(1.0, share[k].sum())
-            if c.solids[k] == 0 or (c.solids[k] <= 12 and _is_placeholder(a)):
+        for a, solid, (answered, refused, echoed, foreign, unfinished) in zip(plain, c.solids.tolist(), share.tolist(), strict=True):
+            total = max(1.0, answered + refused + echoed + foreign + unfinished)
+            if solid == 0 or (solid <= 12 and _is_placeholder(a)):
                 out.append("empty")
-            elif share[k, REFUSAL] >= 0.5 * total:
+            elif refused >= 0.5 * total:
                 out.append("refusal")
-            elif share[k, ECHO] >= 0.5 * total:
+            elif echoed >= 0.5 * total:
                 out.append("copied")
-            elif share[k, FOREIGN_TAG] >= 0.5 * total or share[k, ECHO] + share[k, FOREIGN_TAG] >= 0.6 * total:
-                out.append("copied" if share[k, ECHO] > share[k, FOREIGN_TAG] else "wrong_language")
-            elif share[k, UNFINISHED] > 0:
+            elif foreign >= 0.5 * total or echoed + foreign >= 0.6 * total:
+                out.append("copied" if echoed > foreign else "wrong_language")
+            elif unfinished > 0:
                 out.append("truncated")
             else:
                 out.append(None)
@@ -260,9 +330,42 @@ def _is_placeholder(answer: str) -> bool:
     return re.sub(r"[^\w/]+", "", fold(answer)).strip("/_").casefold() in PLACEHOLDERS
 
 
-def training_set(pairs: list[tuple[str, str]], seed: int = 3) -> tuple[list[str], list[Block], list[int], list[bool]]:
+class Draws:
+    """The numbers of numpy's default generator one at a time, from blocks of its raw output: a call of its own costs ten times as much."""
+
+    def __init__(self, seed: int) -> None:
+        self.raw = np.random.default_rng(seed).bit_generator.random_raw
+        self.block: list[int] = []
+        self.half: int | None = None
+
+    def _next(self) -> int:
+        if not self.block:
+            self.block = self.raw(4096)[::-1].tolist()
+        return self.block.pop()
+
+    def random(self) -> float:
+        return (self._next() >> 11) * 2.0**-53
+
+    def below(self, end: int) -> int:
+        """One of 0 to end - 1, each as likely (Lemire's method); end is under 2^32."""
+        if end == 1:
+            return 0
+        while True:
+            if self.half is None:
+                whole = self._next()
+                self.half, part = whole >> 32, whole & 0xFFFFFFFF
+            else:
+                self.half, part = None, self.half
+            wide = part * end
+            if (low := wide & 0xFFFFFFFF) >= end or low >= (0x100000000 - end) % end:
+                return wide >> 32
+
+
+def training_set(pairs: list[tuple[str | Block, str]], seed: int = 3) -> tuple[list[str], list[Block], list[int], list[bool]]:
     """Sound pairs of (block, answer) and the defects made from them, with their tags."""
-    draw = np.random.default_rng(seed)
+    pairs = [(text if isinstance(text, Block) else Block(text), answer) for text, answer in pairs]
+    draws = Draws(seed)
+    draw, below = draws.random, draws.below
     answers: list[str] = []
     asked: list[Block] = []
     tags: list[int] = []
@@ -276,37 +379,38 @@ def training_set(pairs: list[tuple[str, str]], seed: int = 3) -> tuple[list[str]
             cut.append(unfinished)
 
     def pick(options: tuple | list) -> str:  # noqa: ANN401
-        return options[int(draw.integers(len(options)))]
+        return options[below(len(options))]
 
-    for k, (text, answer) in enumerate([p for p in pairs for _ in range(2)]):
-        b = Block(text)
+    for k, (b, answer) in enumerate([p for p in pairs for _ in range(2)]):
+        text = b.text
         if k % 2 == 0:
             add(answer, b, ANSWER)
-        words = _WORDS.findall(text) or ["x"]
         long = len(answer) >= 4
-        turn = int(draw.integers(10))
-        pieces = [p for p in re.split(r"(?<=[。！？；，])", answer) if p.strip()]
-        heading = b.open and b.sentences == 0 and b.words <= 16
+        turn = below(10)
+        pieces = [p for p in _PIECES.split(answer) if p.strip()] if turn in (2, 3) else []
+        heading = b.open and b.sentences == 0 and b.words <= TITLE_WORDS
         if turn in (0, 1) and long and heading:
             # a short title says little by its length: only one that is broken off visibly is taken for unfinished
             add(answer[: max(1, len(answer) // 2)] + pick(("……", "...", "…")), b, ANSWER, True)
         elif turn in (0, 1) and long:
-            at = int(draw.integers(max(1, len(answer) // 8), max(2, (3 * len(answer)) // 4)))
+            least = max(1, len(answer) // 8)
+            at = least + below(max(2, (3 * len(answer)) // 4) - least)
             stem = answer[:at].rstrip("。！？；，、")
             add(stem + pick(("", "……", "...", "…", "，")), b, ANSWER, True)
         elif turn in (2, 3) and len(pieces) > 1:
-            stem = "".join(pieces[: int(draw.integers(1, len(pieces)))])
-            add(stem if draw.random() < 0.6 else stem.rstrip("。！？；，、") + pick(("……", "...", "。")), b, ANSWER, True)
+            stem = "".join(pieces[: 1 + below(len(pieces) - 1)])
+            add(stem if draw() < 0.6 else stem.rstrip("。！？；，、") + pick(("……", "...", "。")), b, ANSWER, True)
         elif turn in (4, 8, 9):
             add(pick(("", "", "您好，", "非常抱歉，")) + pick(REFUSALS) + pick(("", "", pick(COURTESIES), pick(REFUSALS) + pick(COURTESIES))), b, REFUSAL)
         elif turn == 5:
             same = " ".join(text.split())
-            add(pick(("", "", "译文：", "翻译：", "Translation: ", "“")) + (same.upper() if draw.random() < 0.25 else same if draw.random() < 0.7 else text).rstrip(". ") + pick((".", "。", "", "”")), b, ECHO)
+            add(pick(("", "", "译文：", "翻译：", "Translation: ", "“")) + (same.upper() if draw() < 0.25 else same if draw() < 0.7 else text).rstrip(". ") + pick((".", "。", "", "”")), b, ECHO)
         elif turn == 6:
-            start = 4 * int(draw.integers(len(FOREIGN) // 4))
-            add("".join(pick(FOREIGN[start : start + 4]).format(pick(words)) + pick(("", " ")) for _ in range(int(draw.integers(1, 6)))), b, FOREIGN_TAG)
+            words = _WORDS.findall(text) or ["x"]
+            start = 4 * below(len(FOREIGN) // 4)
+            add("".join(pick(FOREIGN[start : start + 4]).format(pick(words)) + pick(("", " ")) for _ in range(1 + below(5))), b, FOREIGN_TAG)
         elif turn == 7 and k >= 8:
-            strange = " ".join(pairs[int(draw.integers(k // 2))][0].split())
+            strange = " ".join(pairs[below(k // 2)][0].text.split())
             if strange[:40] != " ".join(text.split())[:40]:
                 add(strange, b, FOREIGN_TAG)
     return answers, asked, tags, cut
@@ -314,9 +418,9 @@ def training_set(pairs: list[tuple[str, str]], seed: int = 3) -> tuple[list[str]
 
 def is_sound(block: Block, answer: str) -> bool:
     """Whether a pair may stand for a good one in training: mostly ideographs, as many sentences, ended as the block is."""
-    han = sum("㐀" <= c <= "鿿" for c in answer)
-    ends = len(re.findall(r"[。！？]+", answer))
-    solid = sum(not c.isspace() for c in answer)
+    han = _ideographs(answer)
+    ends = len(_FULL_STOPS.findall(answer))
+    solid = sum(map(len, answer.split()))
     if han < 2 or han < 0.5 * solid or not 0.1 <= han / max(1, block.letters) <= 0.8 or _ELLIPSIS.search(answer.rstrip()[-8:]):
         return False
     return ends >= block.sentences and (block.open or bool(_TERMINAL.search(answer.rstrip()[-4:])))
@@ -342,9 +446,9 @@ def training_pairs(pages: DataFrame, translations: DataFrame, most: int = TRAINI
     return [(r.text, r.answer) for r in sorted(b.dropDuplicates(["document", "id"]).collect(), key=lambda r: (r.document, r.id))]
 
 
-def sound_of(pairs: list[tuple[str, str | None]], lexicon: frozenset[str]) -> list[tuple[str, str]]:
+def sound_of(pairs: list[tuple[str, str | None]], lexicon: frozenset[str]) -> list[tuple[Block, str]]:
     """The pairs that may stand for good ones in training."""
-    return [(text, answer) for text, answer in pairs if answer and is_sound(Block(text), answer) and kind(fold(text), lexicon) in JUDGED]
+    return [(b, answer) for text, answer in pairs if answer and is_sound(b := Block(text), answer) and kind(b.canonical(), lexicon) in JUDGED]
 
 
 def refined(model: Model, pairs: DataFrame) -> Model:
@@ -362,7 +466,7 @@ def refined(model: Model, pairs: DataFrame) -> Model:
                 part = batch.slice(a, 2048)
                 sound = sound_of(list(zip(column(part, "text"), column(part, "answer"), strict=True)), model.lexicon)
                 if sound:
-                    made = training_set(sound, zlib.crc32(sound[0][0].encode("utf-8", "surrogatepass")))
+                    made = training_set(sound, zlib.crc32(sound[0][0].text.encode("utf-8", "surrogatepass")))
                     c, y = own.marked(*made)
                     if len(y):
                         for p, d in zip(own.weights(), own.gradients(c, y)[1], strict=True):

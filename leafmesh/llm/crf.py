@@ -10,14 +10,13 @@ import numpy as np
 
 def _groups(lengths: np.ndarray, most: int = 4096) -> list[np.ndarray]:
     order = np.argsort(lengths, kind="stable")
+    rising = lengths[order]
     out, a = [], 0
     while a < len(order):
-        size = 1
-        longest = max(1, int(lengths[order[a]]))
-        while a + size < len(order) and size < most and lengths[order[a + size]] <= longest + longest // 4:
-            size += 1
-        out.append(order[a : a + size])
-        a += size
+        longest = max(1, int(rising[a]))
+        z = min(a + most, int(np.searchsorted(rising, longest + longest // 4, "right")))
+        out.append(order[a:z])
+        a = z
     return out
 
 
@@ -89,8 +88,9 @@ class Chain:
             loss += float((z - gold).sum())
             for t in range(steps):
                 m = np.exp(alpha[t] + beta[t] - z[:, None]) * there[:, t, None]
-                np.add.at(m, (i, y[:, t]), -there[:, t].astype(float))
-                np.add.at(de, at[:, t], m)
+                # each sequence has its own rows, so none is met twice
+                m[i, y[:, t]] -= there[:, t]
+                de[at[:, t]] += m
                 if t == 0:
                     grads["first"] += m.sum(axis=0)
                 is_last = (lengths[g] - 1 == t)[:, None]

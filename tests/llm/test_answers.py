@@ -1,9 +1,11 @@
 import itertools
+import random
+import re
 
 import numpy as np
 
 from leafmesh.llm import answers
-from leafmesh.llm.crf import Chain
+from leafmesh.llm.crf import Chain, _groups
 from tests.llm.test_found import PAGES, block
 
 SENTENCES = [
@@ -104,3 +106,53 @@ def test_words_are_counted_over_all_pages(spark, monkeypatch):
     monkeypatch.setattr(answers, "tagger", lambda model, real=answers.tagger: seen.append(model) or real(model))
     answers.defects(spark.createDataFrame(pages, PAGES), spark.createDataFrame(rows, "document string, page int, translations map<string,string>, returned_at int")).count()
     assert "ambit" in seen[0].lexicon
+
+
+def test_the_pass_reads_each_block_once(monkeypatch):
+    made = []
+
+    class Counted(answers.Block):
+        def __init__(self, text):
+            made.append(text)
+            super().__init__(text)
+
+    monkeypatch.setattr(answers, "Block", Counted)
+    rows = [pair(k) for k in range(200)]
+    got = answers.training_set(answers.sound_of(rows, frozenset()), 8)
+    answers.Model().marked(*got)
+    assert made == [text for text, _ in rows]
+    assert all(b.known() is b.known() and b.canonical() is b.canonical() for b in got[1])
+
+
+def test_a_block_counts_as_the_plain_patterns_do():
+    stop = re.compile(r"(?<![.…])[.!?。！？](?!\.)[\"'”’)）\]」]*(?=\s|$)|[。！？]")
+    abbreviation, words = re.compile(r"\b[^\W\d_]{1,4}\.(?=\s+\d)"), re.compile(r"[^\W\d_]{2,}")
+    draw = random.Random(4)
+    texts = ["", "See Fig. 3. It ends... so? Yes! 好。」", "a b c dé x²y ½ Ωμ ok", "one two-\nthree\xad \n four ¬\nfive -\nsix", "Ｆｕｌｌ w\u200bidth – “a” Жук \ud800 end.\u3000", "".join(map(chr, range(0x3100)))]
+    texts += ["".join(draw.choice("aBé ßЖ字1²_.…!?。！”)」-\xad¬\n\u3000 \x1f’:–") for _ in range(draw.randrange(60))) for _ in range(3000)]
+    for text in texts:
+        b, body = answers.Block(text), text.strip()
+        assert b.sentences == len(stop.findall(abbreviation.sub(lambda m: m.group()[:-1], body)))
+        assert b.open == (not re.search(r"[.!?。！？:：][\s\"'”’)）\]」]*$", body))
+        assert (b.letters, b.han) == (sum(map(len, words.findall(body))), sum("㐀" <= c <= "鿿" for c in body))
+        assert min(b.words, 17) == min(len(body.split()), 17)
+        own = answers.fold(text).casefold()
+        assert {w for w in b.known() if len(w) > 1} == {*words.findall(own), *words.findall(re.sub(r"(?<=\w)[-­¬]\s*\n\s*", "", own))}
+
+
+def test_draws_are_those_of_numpy():
+    for seed in range(3):
+        got, want = answers.Draws(seed), np.random.default_rng(seed)
+        for end in [*range(1, 40), 2**31 + 5, 3 * 2**30] * 150:
+            assert got.below(end) == want.integers(end)
+            assert end % 3 or got.random() == want.random()
+
+
+def test_groups_hold_sequences_of_like_length():
+    lengths = np.random.default_rng(2).geometric(0.1, size=3000) - 1
+    groups = _groups(lengths, 200)
+    assert np.array_equal(np.concatenate(groups), np.argsort(lengths, kind="stable"))
+    for g, after in zip(groups, [*groups[1:], None], strict=True):
+        least = max(1, lengths[g[0]])
+        assert len(g) <= 200 and lengths[g[-1]] <= least + least // 4
+        assert after is None or len(g) == 200 or lengths[after[0]] > least + least // 4
